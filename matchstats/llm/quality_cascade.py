@@ -98,7 +98,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 40 * words),
         Rule("word_length", (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 14 * words)),
-        Rule("dup_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        Rule("dup_lines", 100 * F.col("n_dup_lines") > 60 * F.col("n_lines")),
         Rule("marks", 100 * marks > 40 * words),
         Rule("capitals", 100 * capitals > 60 * letters),
         Rule("no_letter", 100 * no_letter > 40 * words),
@@ -182,7 +182,7 @@ a AS (SELECT m.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 40 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * marks > 40 * n_words OR 100 * capitals > 60 * letters
+            OR 100 * n_dup_lines > 60 * n_lines OR 100 * marks > 40 * n_words OR 100 * capitals > 60 * letters
             OR 100 * no_letter > 40 * n_words OR (n_words <= 2000 AND 100 * n_distinct < 15 * n_words)) AS kept
 FROM b
 """
