@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchstats.llm import lsm_dedup, poisson_mix, quality_cascade
+from matchstats.llm import lsm_dedup, near_dedup, poisson_mix, quality_cascade, unigram
 from matchstats.llm.common import materialise, table
 
 
@@ -16,11 +16,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lsm_dedup.kept_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.kept_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return poisson_mix.kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return unigram.encoded(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
 
 #: The near-duplicate and encoding stages have no SQL form; the pipeline is tested against brute force.
 ORACLE_SQL = None

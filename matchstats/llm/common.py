@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +64,21 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; texts may be very long."""
+_SHIPPED: set[str] = set()
+
+
+def python_workers(spark: SparkSession) -> None:
+    """What Python in tasks needs: this package on the executors, and Arrow batches of a bounded size (texts may be very long)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if (app := spark.sparkContext.applicationId) in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    file = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"  # read by the driver alone, which serves it to the executors
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(file))
+    _SHIPPED.add(app)
 
 
 def unit_hash(key: Column, seed: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_reputation, lsm_dedup, poisson_mix, quality_cascade
+from . import addressable_codes, host_reputation, lsm_dedup, near_dedup, poisson_mix, quality_cascade, unigram
 from .common import table
 
 
@@ -16,8 +16,11 @@ def _docs(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": host_reputation.op1,
+    "op4_addressable_codes": _docs(addressable_codes.op4),
     "op5_poisson_mix": _docs(poisson_mix.op5),
     "op6_quality_cascade": _docs(quality_cascade.op6),
+    "op7_unigram": _docs(unigram.op7),
+    "op8_near_dedup": _docs(near_dedup.op8),
     "op10_lsm_dedup": _docs(lsm_dedup.op10),
 }
 
