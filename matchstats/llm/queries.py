@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import addressable_codes, host_reputation, lsm_dedup, near_dedup, poisson_mix, quality_cascade, unigram
+from . import addressable_codes, host_reputation, language_gru, lsm_dedup, near_dedup, poisson_mix, pu_quality, quality_cascade, unigram, warc_segments
 from .common import table
 
 
@@ -16,16 +16,20 @@ def _docs(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_reputation": host_reputation.op1,
+    "op2_warc_segments": warc_segments.op2,
+    "op3_language_gru": _docs(language_gru.op3),
     "op4_addressable_codes": _docs(addressable_codes.op4),
     "op5_poisson_mix": _docs(poisson_mix.op5),
     "op6_quality_cascade": _docs(quality_cascade.op6),
     "op7_unigram": _docs(unigram.op7),
     "op8_near_dedup": _docs(near_dedup.op8),
+    "op9_pu_quality": lambda spark, sf_dir: pu_quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lsm_dedup": _docs(lsm_dedup.op10),
 }
 
 ORACLES: dict[str, str] = {
     "op1_host_reputation": host_reputation.ORACLE,
+    "op2_warc_segments": warc_segments.ORACLE,
     "op5_poisson_mix": poisson_mix.ORACLE,
     "op6_quality_cascade": quality_cascade.ORACLE,
     "op10_lsm_dedup": lsm_dedup.ORACLE,
