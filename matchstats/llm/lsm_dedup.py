@@ -33,6 +33,8 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
+#: Entries in one file of a run, about.
+RUN_FILE_ROWS = 250_000
 _ENTRY = "digest string, keep_id long, group_size long"
 
 
@@ -42,12 +44,14 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
 
-    def _write(self, entries: DataFrame) -> str:
-        path = new_path(self.spark, "digest-run")
+    def _write(self, entries: DataFrame, rows: int) -> str:
+        """A run of at most ``rows`` entries, in files of about RUN_FILE_ROWS with a filter made for so many."""
+        path, files = new_path(self.spark, "digest-run"), max(1, -(-rows // RUN_FILE_ROWS))
         (
-            entries.sortWithinPartitions("digest")
+            entries.coalesce(files)
+            .sortWithinPartitions("digest")
             .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled#digest", "true")
+            .option("parquet.bloom.filter.expected.ndv#digest", str(max(1, rows // files)))
             .parquet(path)
         )
         return path
@@ -57,7 +61,8 @@ class DigestIndex:
 
     def flush(self, memtable: DataFrame) -> None:
         """A memtable (doc_id, digest) becomes a sorted run of level 0; a full level is compacted into the next."""
-        self.levels[0].append(self._write(memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))))
+        entries = memtable.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        self.levels[0].append(self._write(entries, memtable.count()))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._merge(level)
@@ -67,7 +72,7 @@ class DigestIndex:
         if level + 1 == len(self.levels):
             self.levels.append([])
         merged = self._read(runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        self.levels[level + 1].append(self._write(merged))
+        self.levels[level + 1].append(self._write(merged, self._read(runs).count()))
 
     def compact(self) -> None:
         """Merge all runs into one of the last level."""
