@@ -19,6 +19,8 @@ result; other columns of the input do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,18 +87,18 @@ class DigestIndex:
         return self._read([p for level in self.levels for p in level])
 
 
-def verified(docs: DataFrame, digests: DataFrame, index: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, digests: DataFrame, index: DataFrame, digest_of: Callable[[Column], Column] = digest) -> DataFrame:
     """Rows of ``digests`` with keep_id and group_size; digests with more than one row are checked on the bytes of their texts."""
     multiple = materialise(index.where("group_size > 1"), "digest-multiple")
     hits = materialise(joined(digests, multiple.select("digest"), ["digest"], "left_semi").select("doc_id").distinct(), "digest-hits")
     texts = joined(docs.select(docs["doc_id"], normalised(docs["text"]).alias("norm")), hits, ["doc_id"], "left_semi")
     # equal texts collapse where they are read: what is shuffled has each text once a task
-    groups = texts.groupBy(F.sha2("norm", 256).alias("digest"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = texts.groupBy(digest_of(F.col("norm")).alias("digest"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     clashing = materialise(groups.select("digest").groupBy("digest").count().where("count > 1").select("digest"), "digest-clashes")
     out = digests.join(index, "digest", "left")
     if clashing.isEmpty():
         return out
-    bad = joined(docs.select("doc_id", normalised(docs["text"]).alias("norm"), digest(docs["text"]).alias("digest")), clashing, ["digest"], "left_semi")
+    bad = joined(docs.select("doc_id", normalised(docs["text"]).alias("norm"), digest_of(docs["text"]).alias("digest")), clashing, ["digest"], "left_semi")
     split = bad.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return out.join(clashing, "digest", "left_anti").unionByName(bad.join(split, ["digest", "norm"]).drop("norm"))
 
