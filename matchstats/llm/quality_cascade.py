@@ -41,11 +41,21 @@ def _same(a: Column, b: Column, words: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _settled(d: DataFrame) -> DataFrame:
+    """The same rows and columns as the output of a generator, below which the optimizer pushes no filter.
+
+    Else a filter on a measure is rewritten over the arrays that it comes from, inside functions of their elements.
+    """
+    return d.select(F.inline_outer(F.array(F.struct(*d.columns))))
+
+
+def measured(docs: DataFrame, keep: list[str], only: Column | None = None) -> DataFrame:
     """``keep`` columns plus text, words, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     ``n_repeat_words`` counts words in 8-word windows found twice or more in the text. Window hashes
-    are compared first; only a text with two equal hashes is sorted and its words compared.
+    are compared first; only a text with two equal hashes is sorted and its words compared. With ``only``
+    (over the other measures; it comes back as ``wanted``) the windows of other rows are not made, and
+    their count is 0.
     """
     d = docs.select(*keep, F.coalesce(docs["text"], F.lit("")).alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", f"{SPACE}+", -1), ""))
@@ -59,8 +69,12 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    if only is not None:
+        d = d.withColumn("wanted", F.coalesce(only, F.lit(False)))
+        hashes = F.when(F.col("wanted"), hashes)
+    d = _settled(d.withColumn("hashes", hashes))
     windows = F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0)))
     d = d.withColumn("windows", F.transform(windows, lambda h, i: F.xxhash64(h, *(F.get("hashes", i + k) for k in range(1, WINDOW)))))
     d = d.withColumn(
@@ -70,17 +84,18 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
             F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
+    d = _settled(d.drop("hashes", "windows"))
     again = F.transform(
         "ordered",
         lambda s, k: F.when(_same(s, F.get("ordered", k - 1), F.col("words")) | _same(s, F.get("ordered", k + 1), F.col("words")), s["i"]),
     )
-    d = d.withColumn("found", F.sort_array(F.filter(again, lambda i: i.isNotNull())))
+    d = _settled(d.withColumn("found", F.sort_array(F.filter(again, lambda i: i.isNotNull()))).drop("ordered"))
     covered = F.aggregate(
         F.transform("found", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("found", k + 1) - p, F.lit(WINDOW)))),
         F.lit(0),
         lambda acc, x: acc + x,
     )
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hashes", "windows", "ordered", "found")
+    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("found")
 
 
 def base_failed() -> Column:
@@ -157,8 +172,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     order = [r for r, _, _ in planned(docs, default_rules())]
     names = docs.columns
     d = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), docs["text"].alias("text"))
-    d = measured(d, ["row"])
-    return d.where(~base_failed() & rejected_by(order).isNull()).select("row.*")
+    d = measured(d, ["row"], only=(F.col("n_words") >= 20) & rejected_by(order).isNull())
+    return d.where(F.col("wanted") & ~base_failed()).select("row.*")
 
 
 ORACLE = r"""
