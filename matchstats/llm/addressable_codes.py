@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, python_workers
+from .common import _BYTE, _powers, materialise, mixed, new_path, python_workers, texts_of
 
 MAGIC, BITS, BLOCK_WORDS = b"DAC1", 8, 8
 #: Ids in one file at most, beyond its last document.
@@ -145,16 +145,31 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 # ---- tokenizing ------------------------------------------------------------------------------
 
-#: Words in the memo of a worker, and code points of a word in it, at most.
-MEMO_WORDS, MEMO_LENGTH = 300_000, 48
-_TOKENIZERS: dict[str, WordEncoder] = {}
-
-
-class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words.
-
-    Ids of words are remembered, as most words of a text are frequent. Splitting at space and newline
-    alone is enough: a part may still hold other white space, which the tokenizer then sees.
+#: Units that a worker remembers at most, and bytes of text taken at a time.
+MEMO_UNITS, RECENT_UNITS, TEXT_BYTES = 1_500_000, 150_000, 1 << 21
+_TOKENIZERS: dict[str, UnitEncoder] = {}
+
+# Kinds of bytes: white space, letter, digit, mark, other. A word of the first four kinds alone is cut into
+# runs of letters, runs of marks and single digits, as the tokenizer does; any other word stays whole.
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, dtype=np.int8)
+_KIND[list(b" \t\n\v\f\r")] = _SPACE
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[list(b"!#$%&()*+,-./:;=?@[]_{}")] = _MARK
+#: Second bytes, after 0xC3, of the letters U+00C0 to U+00FF.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_TO_LOWER = np.arange(256, dtype=np.uint8)
+_TO_LOWER[65:91] += 32
+
+
+class UnitEncoder:
+    """Encodes texts with a tokenizer that lower-cases, drops white space and never merges across letters, marks and digits.
+
+    So the ids of a text are those of its units one after the other. The units of many texts are found
+    and hashed (64 bits) in numpy; the tokenizer encodes each distinct unit once, and ids are remembered.
     """
 
     def __init__(self, json: str):
@@ -162,29 +177,110 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.memo: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*parts)
-        if len(self.memo) + len(seen) > MEMO_WORDS:
-            self.memo = {w: self.memo[w] for w in seen if w in self.memo}
-        new = [w for w in seen if w not in self.memo]
-        look = self.memo
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            look[word] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(look.__getitem__, p)) for p in parts]
-        for word in new:
-            if len(word) > MEMO_LENGTH:
-                del look[word]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Two tables of (key, first id in the pool, number of ids), sorted by key: a large one and a recent one."""
+        self.pool = np.zeros(0, dtype=np.uint32)
+        self.tables = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)) for _ in range(2)]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each key; -1 where it is new."""
+        first, number = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for known, at, n in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                first[hit], number[hit] = at[i[hit]], n[i[hit]]
+        return first, number
+
+    def _units(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and key of each unit; ``data`` ends with white space."""
+        kind = _KIND[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[_LATIN[data[lead + 1]]]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low = _TO_LOWER[data]
+        capital = lead[(data[lead + 1] < 0x9F) & (data[lead + 1] != 0x97)] + 1
+        low[capital] += 0x20
+        inside = np.concatenate([[0], (kind != _SPACE).astype(np.int8)])
+        edge = np.diff(inside, append=0)
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        others = np.concatenate([[0], np.cumsum(kind == _OTHER)])
+        whole = others[ends] > others[starts]
+        mask = np.zeros(len(data) + 1, dtype=np.int8)
+        mask[starts[whole]] += 1
+        mask[ends[whole]] -= 1
+        in_whole = np.cumsum(mask)[:-1] > 0
+        low[in_whole] = data[in_whole]
+        begin = (kind != _SPACE) & ~in_whole
+        begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begin[starts] = True
+        stop = kind != _SPACE
+        stop[:-1] &= begin[1:] | (kind[1:] == _SPACE)
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        up, down = _powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[low] * up[: len(data)], out=sums[1:])
+        return starts, ends, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(raw, dtype=np.uint8)
+        starts, ends, keys = self._units(data)
+        own, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        if sum(len(t[0]) for t in self.tables) > MEMO_UNITS:
+            self._forget()
+        first, number = self._look_up(own)
+        new = np.flatnonzero(first < 0)
+        if len(new):
+            units = [raw[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            number[new] = [len(x) for x in ids]
+            first[new] = len(self.pool) + np.cumsum(number[new]) - number[new]
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
+            self.tables[1] = self._merged(self.tables[1], (own[new], first[new], number[new]))
+            if len(self.tables[1][0]) > RECENT_UNITS:
+                self.tables = [self._merged(*self.tables), tuple(x[:0] for x in self.tables[1])]
+        n = number[back]
+        total = np.cumsum(n)
+        flat = self.pool[np.repeat(first[back] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
+        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+        per_text = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64)
+        return np.split(flat, np.cumsum(per_text)[:-1])
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text (UTF-8)."""
+        out, k = [], 0
+        while k < len(texts):
+            if len(texts[k]) > TEXT_BYTES:  # a very long text in parts, cut at white space
+                parts, at, text = [], 0, texts[k]
+                while at < len(text):
+                    end = len(text) if at + TEXT_BYTES >= len(text) else text.rfind(b" ", at, at + TEXT_BYTES) + 1 or text.find(b" ", at) + 1 or len(text)
+                    parts.append(text[at:end])
+                    at = end
+                out.append(np.concatenate([self._encode([p])[0] for p in parts]))
+                k += 1
+                continue
+            n, size = k, 0
+            while n < len(texts) and size + len(texts[n]) <= TEXT_BYTES:
+                size += len(texts[n]) + 1
+                n += 1
+            out += self._encode(texts[k : max(n, k + 1)])
+            k = max(n, k + 1)
         return out
 
 
-def _encoder(json: str) -> WordEncoder:
+def _encoder(json: str) -> UnitEncoder:
     key = hashlib.sha1(json.encode()).hexdigest()
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = WordEncoder(json)
+        _TOKENIZERS[key] = UnitEncoder(json)
     return _TOKENIZERS[key]
 
 
@@ -213,13 +309,13 @@ def write(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = END_I
         part = TaskContext.get().partitionId()
         file_system, root = _file_system(folder)
         file_system.create_dir(root, recursive=True)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=np.uint32)
         encoder, names, lengths, held, files = None, [], [], [], 0
 
         def flush():
             nonlocal files
             path = f"{root}/{part:06d}-{files:04d}-{uuid.uuid4().hex}.dac"
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             with file_system.open_output_stream(path) as out:
                 out.write(pack(names, np.concatenate([[0], np.cumsum(lengths)]), ids))
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([files], pa.int32()), "path": [path], "docs": pa.array([len(names)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
@@ -230,11 +326,10 @@ def write(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = END_I
 
         for batch in batches:
             encoder = encoder or _encoder(shared.value)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder([*texts_of(batch.column(1))]), strict=True):
                 names.append(doc_id)
-                held.append(ids + end)
-                lengths.append(len(ids) // 4 + 1)
+                held += [ids, end]
+                lengths.append(len(ids) + 1)
             if sum(lengths) >= FILE_IDS:
                 yield flush()
         if names:
