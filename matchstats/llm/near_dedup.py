@@ -11,10 +11,13 @@
    most pairs inside the join (it never drops a pair of m shared values). The Jaccard estimate from
    the union sketch filters the rest; exact Jaccard of the whole sets verifies what is left.
 4. Groups. Components of the verified links are found. A list whose members are now all in one
-   component is done. In the other lists, pairs of different components are tested in the same way
-   until none is left, so no link between different components is missed, and a large group of
-   copies costs as many pairs as it has rows. A list that is still long is keyed by two values
-   (any two similar sets share m of them), which makes lists short without dropping pairs.
+   component is done. In the other short lists, pairs of different components are tested in the same
+   way, so no link between different components is missed. For the members of long lists, the shingles
+   are counted that it has from one hub's set (``both``), and beyond it from any other member (``more``;
+   edits of one copy alone are none). Two sets share at most the lesser of each, which rules out most
+   pairs, and a member with too few for any partner is dropped; members of one hub that need more than
+   what they have of it are paired by the shingles beyond it. Long lists then get more hubs, members with few edits of their own, and the pairs
+   of different components that are still possible are tested.
 
 Cases: null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than
 a shingle is one shingle; a null doc_id sorts last and comes back as null; rows that repeat a doc_id are
@@ -36,8 +39,8 @@ from .components import components
 
 #: Sketch size, and the odds against a pair at the threshold sharing fewer than ``least_shared`` values.
 K, MISSED = 48, 1e-6
-#: Lists with more members than this are keyed by two values in step 4.
-LONG_LIST = 200
+#: Lists with more members than this get more hubs in step 4, in so many rounds at most.
+LONG_LIST, ROUNDS = 64, 2
 _NULL_ID = (1 << 63) - 1
 _SIG = ["s0", "s1", "s2", "s3"]
 
@@ -103,11 +106,18 @@ class _Search:
         return F.when(whole, F.ceil(n * self.percent / 100)).otherwise(F.lit(self.m)).cast("int")
 
     def likely(self, a: str, b: str) -> Column:
-        """Sizes allow the threshold, and the parity signatures allow the shared values."""
+        """Sizes allow the threshold, and the parity signatures allow the shared values.
+
+        ``hub``, ``both``, ``more``: a set shares at most ``both`` shingles of its hub's set and ``more`` others with any set.
+        """
         n, o = F.col(f"{a}.n"), F.col(f"{b}.n")
+        both, more = (F.least(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("both", "more"))
+        apart = F.least(F.col(f"{a}.both") + F.col(f"{a}.more"), F.col(f"{b}.both") + F.col(f"{b}.more"))
+        most = F.when(F.col(f"{a}.hub") == F.col(f"{b}.hub"), both + more).otherwise(apart)
+        can = (100 + self.percent) * most >= self.percent * (n + o)
         differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SIG), F.lit(0))
         most = F.least(n, F.lit(self.k)) + F.least(o, F.lit(self.k)) - 2 * F.greatest(self.shared(n), self.shared(o))
-        return (100 * F.least(n, o) >= self.percent * F.greatest(n, o)) & (differ <= most)
+        return can & (differ <= most)
 
     def ranked(self, nodes: DataFrame) -> DataFrame:
         """node, n, signature, vs: the rarest shared values of each node, one beyond the prefix, whose length is ``base``."""
@@ -132,63 +142,98 @@ class _Search:
         d = d.where(both >= F.when(whole, F.ceil(F.greatest("na", "nb") * self.percent / 100)).otherwise(F.least(F.lit(self.m), F.col("na"), F.col("nb"))))
         d = materialise(d.select("a", "b"), "likely-pairs")
         ids = materialise(d.select(F.col("a").alias("id")).unionByName(d.select(F.col("b").alias("id"))).distinct(), "likely-nodes")
-        docs = self.docs.select(F.coalesce(self.docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("id"), self.docs["text"].alias("text"))
-        size, percent = self.size, self.percent
+        sets = self.sets(ids)
+        d = d.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+        same = F.size(F.array_intersect("ha", "hb"))
+        return d.where(100 * same >= self.percent * (F.size("ha") + F.size("hb") - same)).select("a", "b").distinct()
 
-        def to_sets(batches: Iterator) -> Iterator:
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """Written table of id, hashes (the whole set) of the nodes in a written table of ids."""
+        docs, size = self.docs.select(F.coalesce(self.docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("id"), self.docs["text"].alias("text")), self.size
+
+        def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in texts_of(batch.column(1))], pa.binary())], names=["id", "hashes"])
+                own = [shingle_set(t, size) for t in texts_of(batch.column(1))]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                flat = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "hashes"])
 
-        def confirm(batches: Iterator) -> Iterator:
-            import pyarrow as pa
+        return materialise(joined(docs, ids, ["id"], "left_semi").mapInArrow(run, "id long, hashes array<long>"), "whole-sets")
 
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
-                    same = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(p) + len(q) - same))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        sets = materialise(joined(docs, ids, ["id"], "left_semi").mapInArrow(to_sets, "id long, hashes binary").distinct(), "likely-sets")
-        d = d.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-        return d.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long")
 
+def _hub_pairs(s: _Search, lists: DataFrame, seed: int = 0) -> DataFrame:
+    """Each member of a list with the list's hub, unless they are in one component: as many pairs as rows.
 
-def _hub_pairs(s: _Search, lists: DataFrame) -> DataFrame:
-    """Each member of a list with the list's hub (a random member): as many pairs as rows."""
-    member = F.struct("node", "n", *_SIG)
-    hubs = materialise(lists.groupBy("v").agg(F.min_by(member, F.xxhash64("node", "v")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("v", "hub.*"), "hubs")
-    at = (F.col("x.v") == F.col("h.v")) & (F.col("x.node") != F.col("h.node")) & s.likely("x", "h")
+    The hub is a random one of the members with the least share of shingles that no other has.
+    """
+    member = F.struct("node", "component", "n", "hub", "both", "more", *_SIG)
+    first = F.struct((100 * (F.col("n") - F.col("both") - F.col("more")) / F.col("n")).cast("int").alias("own"), F.xxhash64("node", "v", F.lit(seed)).alias("at"))
+    hubs = lists.groupBy("v").agg(F.min_by(member, first).alias("member"), F.count("*").alias("size")).where("size > 1")
+    hubs = materialise(hubs.select("v", "member.*"), "hubs")
+    at = (F.col("x.v") == F.col("h.v")) & (F.col("x.component") != F.col("h.component")) & s.likely("x", "h")
     return lists.alias("x").join(hubs.alias("h"), at).select(F.col("x.node").alias("a"), F.col("h.node").alias("b"))
 
 
-def _cross_pairs(s: _Search, lists: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of different components that share a list."""
-    at = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & s.likely("x", "y")
-    for c in key:
-        at = at & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+def _cross_pairs(s: _Search, lists: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+    """Pairs of different components that share a list.
+
+    With ``prefixes`` (node, vs), only in the first list that they share, and of the pairs of one hub only
+    those that reach the threshold by what they have of it; the others are ``_rest_pairs``.
+    """
+    at = F.lit(True)
+    if prefixes is not None:
+        lists = lists.join(prefixes, "node")
+        by_hub = F.coalesce(F.col("x.hub") != F.col("y.hub"), F.lit(True)) | (_lacking(s) <= 0)
+        at = by_hub & (F.array_min(F.array_intersect("x.vs", "y.vs")) == F.col("x.v"))
+    at = (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & s.likely("x", "y") & at
     return lists.alias("x").join(lists.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _open_lists(lists: DataFrame, key: list[str]) -> DataFrame:
-    """Lists with members of two components or more, and their length."""
-    d = lists.groupBy(*key).agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q"))
-    return materialise(d.where("p <> q").select(*key, "c"), "open-lists")
+def _lacking(s: _Search) -> Column:
+    """Hundredths of shingles that x and y have to share, to reach the threshold, beyond what they may both have of their hub."""
+    return s.percent * (F.col("x.n") + F.col("y.n")) - (100 + s.percent) * F.least("x.both", "y.both")
+
 
+def _rest_pairs(s: _Search, members: DataFrame) -> DataFrame:
+    """Pairs of one hub and different components that share so many shingles beyond the hub as they lack; found by those shingles."""
+    d = members.withColumn("y", F.explode("shared"))
+    same = F.array_intersect("x.shared", "y.shared")
+    at = (F.col("x.y") == F.col("y.y")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.hub") == F.col("y.hub"))
+    at = at & s.likely("x", "y") & ((100 + s.percent) * F.size(same) >= _lacking(s)) & (F.array_min(same) == F.col("x.y"))
+    return d.alias("x").join(d.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-def _long_pairs(s: _Search, ranked: DataFrame, known: DataFrame, long: DataFrame) -> DataFrame:
-    """Pairs of different components from long lists, keyed by two values: similar sets share two of their first ``base + 1``."""
-    d = ranked.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    hot = d.select("node", F.explode("vs").alias("v")).join(long, "v").groupBy("node").agg(F.collect_set("v").alias("hot"))
-    d = d.join(hot, "node").select("node", "n", *_SIG, "component", "vs", F.explode("hot").alias("h"))
-    d = d.select("node", "n", *_SIG, "component", "h", F.explode("vs").alias("w")).where("h <> w")
-    d = d.withColumn("v", F.least("h", "w")).withColumn("w", F.greatest("h", "w")).drop("h").distinct()
-    d = materialise(d, "two-value-lists")
-    still = _open_lists(d, ["v", "w"])
-    return _cross_pairs(s, d.join(still.select("v", "w"), ["v", "w"], "left_semi"), ["v", "w"])
+
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """Written table of the lists with members of two components or more, and their length."""
+    d = lists.groupBy("v").agg(F.count("*").alias("size"), F.min("component").alias("p"), F.max("component").alias("q"))
+    return materialise(d.where("p <> q").select("v", "size"), "open-lists")
+
+
+def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
+    return materialise(lists.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-lists")
+
+
+def _able(s: _Search, lists: DataFrame) -> DataFrame:
+    """Written table of the nodes of ``lists`` whose sets share enough with those of other nodes to reach the threshold with one: node, hub, both, more, and ``shared``, the ``more`` shingles.
+
+    A node is held against one hub of its lists: what both have is shared; of the rest, a shingle is
+    shared if another node has it beyond its own hub, or a hub has it. The count is never too low.
+    """
+    hubs = materialise(lists.groupBy("v").agg(F.min("node").alias("hub")), "set-hubs")
+    of = lists.select("node", "v").join(hubs, "v").groupBy("node").agg(F.min("hub").alias("hub"))
+    of = materialise(of, "set-hub-of")
+    sets = s.sets(materialise(of.select(F.col("node").alias("id")), "long-nodes"))
+    own = sets.select(F.col("id").alias("node"), F.col("hashes").alias("own"))
+    hub_sets = materialise(sets.join(of.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").distinct(), "hub-sets")
+    d = of.join(own, "node").join(hub_sets.select(F.col("id").alias("hub"), F.col("hashes").alias("theirs")), "hub")
+    d = materialise(d.select("node", "hub", F.size("own").alias("n"), F.size(F.array_intersect("own", "theirs")).cast("long").alias("both"), F.array_except("own", "theirs").alias("rest")), "set-rests")
+    rest = d.select("node", F.explode("rest").alias("y"))
+    seen = rest.select("y").unionByName(hub_sets.select(F.explode("hashes").alias("y"))).groupBy("y").count().where("count > 1")
+    more = rest.join(materialise(seen.select("y"), "shared-rest"), "y").groupBy("node").agg(F.collect_list("y").alias("shared"))
+    d = d.join(more, "node", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))).withColumn("more", F.size("shared").cast("long"))
+    return materialise(d.where(100 * (F.col("both") + F.col("more")) >= s.percent * F.col("n")).select("node", "hub", "both", "more", "shared"), "able-nodes")
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -199,20 +244,31 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> D
     nodes = materialise(nodes, "nodes")
     ranked = materialise(s.ranked(nodes), "ranked-values")
     lists = ranked.select("node", "n", *_SIG, "base", F.posexplode("vs").alias("i", "v")).where("i < base").drop("i", "base")
-    lists = materialise(lists, "lists")
+    lists = materialise(lists.withColumns({"component": F.col("node"), "hub": F.lit(None).cast("long"), "both": F.col("n"), "more": F.lit(0).cast("long")}), "lists")
     found = materialise(s.links(_hub_pairs(s, lists), nodes), "hub-links")
     known = components(found)
 
-    placed = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialise(placed, "placed-lists")
-    still = _open_lists(placed, ["v"])
-    short = placed.join(still.where(F.col("c").between(3, LONG_LIST)).select("v"), "v", "left_semi")
-    pairs = _cross_pairs(s, short, ["v"])
-    long = materialise(still.where(F.col("c") > LONG_LIST).select("v"), "long-lists")
-    if not long.isEmpty():
-        pairs = pairs.unionByName(_long_pairs(s, ranked, known, long))
-    found = found.unionByName(s.links(pairs, nodes))
-    known = components(found)
+    placed = _placed(lists, known)
+    still = _open_lists(placed)
+    pairs = _cross_pairs(s, placed.join(still.where(F.col("size").between(3, LONG_LIST)).select("v"), "v", "left_semi"))
+    if not still.where(F.col("size") > LONG_LIST).isEmpty():
+        long = materialise(placed.join(still.where(F.col("size") > LONG_LIST).select("v"), "v", "left_semi"), "long-lists")
+        able = _able(s, long)
+        long = materialise(long.drop("hub", "both", "more").join(able.drop("shared"), "node"), "able-lists")
+        for seed in range(1, ROUNDS + 1):
+            new = materialise(s.links(_hub_pairs(s, long, seed), nodes), "hub-links")
+            if new.isEmpty():
+                break
+            found = materialise(found.unionByName(new), "all-links")
+            known = components(found)
+            long = _placed(long, known)
+            long = materialise(long.join(_open_lists(long).select("v"), "v", "left_semi"), "long-lists")
+        pairs = pairs.unionByName(_cross_pairs(s, long.join(_open_lists(long).select("v"), "v", "left_semi"), ranked.select("node", F.slice("vs", F.lit(1), F.col("base")).alias("vs"))))
+        members = long.drop("v").distinct().join(able.select("node", "shared"), "node")
+        pairs = pairs.unionByName(_rest_pairs(s, members))
+    new = materialise(s.links(pairs, nodes), "cross-links")
+    if not new.isEmpty():
+        known = components(found.unionByName(new))
     of_key = nodes.select("key", "node").join(known, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     of_key = materialise(of_key, "key-components")
     return rows.select("id", "n", "key").join(of_key, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
