@@ -1,7 +1,8 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
 1. Sets. Each text becomes the set of its distinct word shingles, hashed to 63 bits; the ``k`` smallest
-   values are its sketch. Documents with equal sets collapse to the one of smallest doc_id (a node).
+   values are its sketch. Rows with equal sets are one node, which has a number of its own; the smallest
+   doc_id of its rows is only an attribute.
 2. Inverted lists. Two sets of Jaccard ``t`` share at least ``m`` sketch values (all but one in a million
    such pairs, and all where both sketches are whole sets); so, with values ordered from the rarest to
    the most frequent, the first ``len - m + 1`` values of both have one in common. Only those are kept
@@ -20,9 +21,10 @@
    of different components that are still possible are tested.
 
 Cases: null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than
-a shingle is one shingle; a null doc_id sorts last and comes back as null; rows that repeat a doc_id are
-one node; an empty table gives an empty result; a text of any length is taken whole; other columns of
-the input do not matter.
+a shingle is one shingle; a null doc_id sorts last and comes back as null; rows that repeat a doc_id, or
+have none, are linked by their texts alone; a verdict goes by doc_id and text, so that only rows equal in
+both share it; a group of null ids alone has a null component_id and one text that is kept; an empty table
+gives an empty result; a text of any length is taken whole; other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -34,14 +36,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, joined, materialise, shingle_hashes, python_workers, texts_of, word_hashes
+from .common import BROADCAST_ROWS, NOT_SPACE, fresh, joined, materialise, shingle_hashes, python_workers, texts_of, word_hashes
 from .components import components
 
 #: Sketch size, and the odds against a pair at the threshold sharing fewer than ``least_shared`` values.
 K, MISSED = 48, 1e-6
 #: Lists with more members than this get more hubs in step 4, in so many rounds at most.
 LONG_LIST, ROUNDS = 64, 2
-_NULL_ID = (1 << 63) - 1
 _SIG = ["s0", "s1", "s2", "s3"]
 
 
@@ -61,17 +62,23 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), size) >> np.uint64(1)).astype(np.int64)
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    """128-bit digest of a set, None if it is empty."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def _sketcher(size: int, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             n, key, sketch, sig = [], [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(2)):
                 s = shingle_set(text, size)
                 n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                key.append(set_key(s))
                 sketch.append(s[:k])
                 odd = np.bincount(s[:k] & 255, minlength=256).astype(np.uint8) & 1
                 sig.append(np.packbits(odd).view(np.int64))
@@ -79,18 +86,27 @@ def _sketcher(size: int, k: int):
             flat = np.concatenate(sketch) if sketch else np.zeros(0, dtype=np.int64)
             bits = np.array(sig, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *(pa.array(bits[:, i]) for i in range(4))],
-                names=["id", "n", "key", "sketch", *_SIG],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), *(pa.array(bits[:, i]) for i in range(4))],
+                names=["id", "th", "n", "key", "sketch", *_SIG],
             )
 
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """id, th (hash of the text), text of each row: id and th together say which text it is, also where ids are null or repeat."""
+    return docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].alias("text"))
+
+
+def _place(*more: str) -> Column:
+    """Order by id, null last, then by ``more``."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", *more)
+
+
 def sketches(docs: DataFrame, size: int, k: int = K) -> DataFrame:
-    """id, n, key (128-bit digest of the set, null if empty), sketch, parity signature of each row."""
+    """id, th, n, key (128-bit digest of the set, null if empty), sketch, parity signature of each row."""
     python_workers(docs.sparkSession)
-    d = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("id"), docs["text"].alias("text"))
-    return d.mapInArrow(_sketcher(size, k), "id long, n long, key binary, sketch array<long>, s0 long, s1 long, s2 long, s3 long")
+    return _texts(docs).mapInArrow(_sketcher(size, k), "id long, th long, n long, key binary, sketch array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 class _Search:
@@ -120,11 +136,11 @@ class _Search:
         return can & (differ <= most)
 
     def ranked(self, nodes: DataFrame) -> DataFrame:
-        """node, n, signature, vs: the rarest shared values of each node, one beyond the prefix, whose length is ``base``."""
+        """node, id, n, signature, vs: the rarest shared values of each node, one beyond the prefix, whose length is ``base``."""
         values = nodes.select("node", F.explode("sketch").alias("v"))
         often = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
         by_node = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-        d = by_node.join(nodes.select("node", "n", *_SIG), "node")
+        d = by_node.join(nodes.select("node", "id", "n", *_SIG), "node")
         # values that only one document has come first in its order and pair with nothing
         base = F.size("vs") - self.shared(F.col("n")) + 1
         d = d.where(base > 0).withColumn("base", base)
@@ -141,26 +157,40 @@ class _Search:
         whole = F.greatest("na", "nb") <= self.k * self.percent // 100
         d = d.where(both >= F.when(whole, F.ceil(F.greatest("na", "nb") * self.percent / 100)).otherwise(F.least(F.lit(self.m), F.col("na"), F.col("nb"))))
         d = materialise(d.select("a", "b"), "likely-pairs")
-        ids = materialise(d.select(F.col("a").alias("id")).unionByName(d.select(F.col("b").alias("id"))).distinct(), "likely-nodes")
-        sets = self.sets(ids)
-        d = d.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+        ids = materialise(d.select(F.col("a").alias("node")).unionByName(d.select(F.col("b").alias("node"))).distinct(), "likely-nodes")
+        sets = self.sets(ids, nodes)
+        d = d.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
         same = F.size(F.array_intersect("ha", "hb"))
         return d.where(100 * same >= self.percent * (F.size("ha") + F.size("hb") - same)).select("a", "b").distinct()
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """Written table of id, hashes (the whole set) of the nodes in a written table of ids."""
-        docs, size = self.docs.select(F.coalesce(self.docs["doc_id"].cast("long"), F.lit(_NULL_ID)).alias("id"), self.docs["text"].alias("text")), self.size
+    def sets(self, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Written table of node, hashes (the whole set) of the nodes in a written table of them, one row each.
+
+        The text of a node is found by the id and the text hash of one of its rows; its set has to have the node's key.
+        """
+        size = self.size
+        of = materialise(joined(nodes.select("node", F.col("id").alias("of_id"), F.col("th").alias("of_th"), "key"), ids, ["node"], "left_semi"), "set-nodes")
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
-                own = [shingle_set(t, size) for t in texts_of(batch.column(1))]
+                node, own = [], []
+                for at, key, text in zip(batch.column(0), batch.column(1), texts_of(batch.column(2))):
+                    found = shingle_set(text, size)
+                    if set_key(found) == key.as_py():
+                        node.append(at.as_py())
+                        own.append(found)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["node", "hashes"])
 
-        return materialise(joined(docs, ids, ["id"], "left_semi").mapInArrow(run, "id long, hashes array<long>"), "whole-sets")
+        n = of.count()
+        here = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))
+        texts = _texts(self.docs).join(F.broadcast(of) if n <= BROADCAST_ROWS else of, here).select("node", "key", "text")
+        found = materialise(texts.mapInArrow(run, "node long, hashes array<long>"), "whole-sets")
+        # rows that repeat both doc_id and text give the same set
+        return found if found.count() == n else materialise(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "whole-sets")
 
 
 def _hub_pairs(s: _Search, lists: DataFrame, seed: int = 0) -> DataFrame:
@@ -169,7 +199,7 @@ def _hub_pairs(s: _Search, lists: DataFrame, seed: int = 0) -> DataFrame:
     The hub is a random one of the members with the least share of shingles that no other has.
     """
     member = F.struct("node", "component", "n", "hub", "both", "more", *_SIG)
-    first = F.struct((100 * (F.col("n") - F.col("both") - F.col("more")) / F.col("n")).cast("int").alias("own"), F.xxhash64("node", "v", F.lit(seed)).alias("at"))
+    first = F.struct((100 * (F.col("n") - F.col("both") - F.col("more")) / F.col("n")).cast("int").alias("own"), F.xxhash64("id", "v", F.lit(seed)).alias("at"), "node")
     hubs = lists.groupBy("v").agg(F.min_by(member, first).alias("member"), F.count("*").alias("size")).where("size > 1")
     hubs = materialise(hubs.select("v", "member.*"), "hubs")
     at = (F.col("x.v") == F.col("h.v")) & (F.col("x.component") != F.col("h.component")) & s.likely("x", "h")
@@ -215,19 +245,19 @@ def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
     return materialise(lists.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-lists")
 
 
-def _able(s: _Search, lists: DataFrame) -> DataFrame:
+def _able(s: _Search, lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Written table of the nodes of ``lists`` whose sets share enough with those of other nodes to reach the threshold with one: node, hub, both, more, and ``shared``, the ``more`` shingles.
 
     A node is held against one hub of its lists: what both have is shared; of the rest, a shingle is
     shared if another node has it beyond its own hub, or a hub has it. The count is never too low.
     """
-    hubs = materialise(lists.groupBy("v").agg(F.min("node").alias("hub")), "set-hubs")
-    of = lists.select("node", "v").join(hubs, "v").groupBy("node").agg(F.min("hub").alias("hub"))
+    hubs = materialise(lists.groupBy("v").agg(F.min(_place("node")).alias("hub")), "set-hubs")
+    of = lists.select("node", "v").join(hubs, "v").groupBy("node").agg(F.min("hub")["node"].alias("hub"))
     of = materialise(of, "set-hub-of")
-    sets = s.sets(materialise(of.select(F.col("node").alias("id")), "long-nodes"))
-    own = sets.select(F.col("id").alias("node"), F.col("hashes").alias("own"))
-    hub_sets = materialise(sets.join(of.select(F.col("hub").alias("id")).distinct(), "id", "left_semi").distinct(), "hub-sets")
-    d = of.join(own, "node").join(hub_sets.select(F.col("id").alias("hub"), F.col("hashes").alias("theirs")), "hub")
+    sets = s.sets(materialise(of.select("node"), "long-nodes"), nodes)
+    own = sets.select("node", F.col("hashes").alias("own"))
+    hub_sets = materialise(sets.join(of.select(F.col("hub").alias("node")).distinct(), "node", "left_semi"), "hub-sets")
+    d = of.join(own, "node").join(hub_sets.select(F.col("node").alias("hub"), F.col("hashes").alias("theirs")), "hub")
     d = materialise(d.select("node", "hub", F.size("own").alias("n"), F.size(F.array_intersect("own", "theirs")).cast("long").alias("both"), F.array_except("own", "theirs").alias("rest")), "set-rests")
     rest = d.select("node", F.explode("rest").alias("y"))
     seen = rest.select("y").unionByName(hub_sets.select(F.explode("hashes").alias("y"))).groupBy("y").count().where("count > 1")
@@ -237,13 +267,14 @@ def _able(s: _Search, lists: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """id, n (set size), component of each row of ``docs`` (doc_id, text)."""
+    """id, th (hash of the text), n (set size), component (smallest id of the group), kept of each row of ``docs`` (doc_id, text)."""
     s = _Search(docs, size, percent, k)
     rows = materialise(sketches(docs, size, k), "sketches")
-    nodes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "sketch", *_SIG)))
+    nodes = rows.where("n > 0").groupBy("key").agg(F.min(_place("th")).alias("first"), *(F.first(c).alias(c) for c in ("n", "sketch", *_SIG)))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.th", "key", "n", "sketch", *_SIG)
     nodes = materialise(nodes, "nodes")
     ranked = materialise(s.ranked(nodes), "ranked-values")
-    lists = ranked.select("node", "n", *_SIG, "base", F.posexplode("vs").alias("i", "v")).where("i < base").drop("i", "base")
+    lists = ranked.select("node", "id", "n", *_SIG, "base", F.posexplode("vs").alias("i", "v")).where("i < base").drop("i", "base")
     lists = materialise(lists.withColumns({"component": F.col("node"), "hub": F.lit(None).cast("long"), "both": F.col("n"), "more": F.lit(0).cast("long")}), "lists")
     found = materialise(s.links(_hub_pairs(s, lists), nodes), "hub-links")
     known = components(found)
@@ -253,7 +284,7 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> D
     pairs = _cross_pairs(s, placed.join(still.where(F.col("size").between(3, LONG_LIST)).select("v"), "v", "left_semi"))
     if not still.where(F.col("size") > LONG_LIST).isEmpty():
         long = materialise(placed.join(still.where(F.col("size") > LONG_LIST).select("v"), "v", "left_semi"), "long-lists")
-        able = _able(s, long)
+        able = _able(s, long, nodes)
         long = materialise(long.drop("hub", "both", "more").join(able.drop("shared"), "node"), "able-lists")
         for seed in range(1, ROUNDS + 1):
             new = materialise(s.links(_hub_pairs(s, long, seed), nodes), "hub-links")
@@ -269,16 +300,22 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> D
     new = materialise(s.links(pairs, nodes), "cross-links")
     if not new.isEmpty():
         known = components(found.unionByName(new))
-    of_key = nodes.select("key", "node").join(known, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    first = nodes.select("node", "id", "th").join(known, "node").groupBy("component").agg(F.min(_place("th")).alias("first"))
+    first = materialise(first.select("component", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th")), "group-firsts")
+    linked = materialise(joined(known, first, ["component"], "inner").select("node", "first_id", "first_th"), "linked-nodes")
+    alone = F.col("first_th").isNull()
+    of_key = nodes.select("key", "node", "id", "th").join(linked, "node", "left")
+    of_key = of_key.select("key", F.when(alone, F.col("id")).otherwise(F.col("first_id")).alias("first_id"), F.coalesce("first_th", "th").alias("first_th"))
     of_key = materialise(of_key, "key-components")
-    return rows.select("id", "n", "key").join(of_key, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    blank = F.col("n") == 0
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    return rows.select("id", "th", "n", "key").join(of_key, "key", "left").select("id", "th", "n", F.when(blank, F.col("id")).otherwise(F.col("first_id")).alias("component"), (blank | same).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     d = clusters(docs, size, percent, k)
-    return d.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return d.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -286,8 +323,18 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one document of each group."""
-    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    name = fresh("gone_id", docs)
-    d = docs.withColumn(name, docs["doc_id"].cast("long"))
-    return joined(d, gone.withColumnRenamed("doc_id", name), [name], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns: one row of each group.
+
+    Rows go by (doc_id, text). Where repeated rows of one doc_id and text stay together, one of them is kept, unless they are blank.
+    """
+    verdict = materialise(clusters(docs).where("n > 0").select("id", "th", "kept"), "near-verdict")
+    gone = materialise(verdict.where(~F.col("kept")).select("id", "th").distinct(), "near-gone")
+    twice = verdict.where("kept").groupBy("id", "th").count().where("count > 1")
+    a, b = fresh("text_hash", docs), fresh("near_id", docs)
+    d = docs.withColumn(a, F.xxhash64(docs["text"])).withColumn(b, docs["doc_id"].cast("long"))
+    drop = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    d = d.join(drop, d[b].eqNullSafe(drop["id"]) & (d[a] == drop["th"]), "left_anti")
+    if not twice.isEmpty():
+        worded = F.coalesce(d["text"].rlike(NOT_SPACE), F.lit(False))
+        d = d.where(worded).dropDuplicates([a, b]).unionByName(d.where(~worded))
+    return d.select(*docs.columns)
