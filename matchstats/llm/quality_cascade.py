@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, SPACE, hash_sample, materialise
 
 WINDOW = 8
+#: Distinct words are counted in each block of so many words, so that their share does not fall with the length of a text.
+BLOCK = 2000
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,8 @@ def default_rules() -> list[Rule]:
     capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
     marks = F.length(text) - F.length(F.regexp_replace(text, r"[!?]+", ""))
     no_letter = F.size(F.filter("words", lambda w: ~w.rlike(r"\p{L}")))
-    distinct = F.size(F.array_distinct("words"))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest((words - 1).cast("int"), F.lit(0)), F.lit(BLOCK)), lambda i: i + 1)
+    distinct = F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice("words", i, F.lit(BLOCK)))))
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 40 * words),
         Rule("word_length", (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 14 * words)),
@@ -117,7 +120,7 @@ def default_rules() -> list[Rule]:
         Rule("marks", 100 * marks > 40 * words),
         Rule("capitals", 100 * capitals > 60 * letters),
         Rule("no_letter", 100 * no_letter > 40 * words),
-        Rule("few_distinct", (words <= 2000) & (100 * distinct < 15 * words)),
+        Rule("few_distinct", 100 * distinct < 15 * words),
     ]
 
 
