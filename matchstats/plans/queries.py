@@ -61,6 +61,10 @@ class Frames:
         stored = ingest.dedupe_first(self.raw.where("batch_no IN (0, 1)"), ["battle_id"], _ORDER)
         return ingest.insert_new(stored, self.raw.where("batch_no IN (1, 2)"), ["battle_id"], _ORDER)
 
+    def all_players(self) -> DataFrame:
+        """Ids of every player of a battle, ranked or not, without padding."""
+        return self.battles.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id")).distinct()
+
     def some_players(self) -> DataFrame:
         """Ids of players 0 to 9, without padding."""
         return self.spark.range(10).select(F.col("id").cast("string").alias("player_id"))
@@ -130,9 +134,13 @@ def _profiles(f: Frames) -> DataFrame:
     return players.player_profile(f.some_full_players(), f.stats, f.ranked_sides)
 
 
+def _all_profiles(f: Frames) -> DataFrame:
+    return players.player_profile(f.players, f.stats, f.ranked_sides)
+
+
 def _nested_profiles(f: Frames) -> DataFrame:
-    history = ingest.battles_of(f.battles, f.some_players())
-    return players.nested_profiles(f.some_full_players(), f.stats, f.ranked_sides, history)
+    history = ingest.battles_of(f.battles, f.all_players())
+    return players.nested_profiles(f.players, f.stats, f.ranked_sides, history)
 
 
 BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
@@ -144,6 +152,7 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     "player_name_history": lambda f: ingest.player_name_history(f.ranked_sides),
     "constraint_report": _constraints,
     "battle_history": lambda f: ingest.battles_of(f.battles, f.some_players()),
+    "battle_history_all": lambda f: ingest.battles_of(f.battles, f.all_players()),
     "water_marks": lambda f: ingest.water_marks(f.battles),
     "backfill_pages": _pages,
     "page_coverage": lambda f: backfill.page_coverage(f.battles, _pages(f), PAGE_WIDTH),
@@ -191,6 +200,7 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     "leaderboard": lambda f: players.leaderboard(f.players, f.stats),
     "resolve_player_ids": _resolve,
     "player_profile": _profiles,
+    "player_profile_all": _all_profiles,
     "player_profile_nested": _nested_profiles,
     # scalars
     "rank_tiers": lambda f: f.ranked_sides.select("dan_rank").distinct().select("dan_rank", scalars.tier(F.col("dan_rank")).alias("tier"), scalars.tier(F.col("dan_rank"), "beginner").alias("tier_or_beginner")),
