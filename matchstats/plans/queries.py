@@ -61,6 +61,11 @@ class Frames:
         stored = ingest.dedupe_first(self.raw.where("batch_no IN (0, 1)"), ["battle_id"], _ORDER)
         return ingest.insert_new(stored, self.raw.where("batch_no IN (1, 2)"), ["battle_id"], _ORDER)
 
+    def inserted_all(self) -> DataFrame:
+        """What a second delivery, batches 2 and 3, adds to batches 0 to 2: each battle is stored, delivered or both."""
+        stored = ingest.dedupe_first(self.raw.where("batch_no IN (0, 1, 2)"), ["battle_id"], _ORDER)
+        return ingest.insert_new(stored, self.raw.where("batch_no IN (2, 3)"), ["battle_id"], _ORDER)
+
     def all_players(self) -> DataFrame:
         """Ids of every player of a battle, ranked or not, without padding."""
         return self.battles.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id")).distinct()
@@ -149,6 +154,8 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     "battle_sides": lambda f: ingest.to_sides(f.battles).select("battle_id", "side", "battle_at", "battle_type", "game_version", "player_id", "character_id", "region_id", "dan_rank", "power", "rating_before", "rating_change", "rounds_won", "opp_player_id", "opp_character_id", "opp_dan_rank", "is_win"),
     "insert_new_battles": lambda f: f.inserted().select("battle_id", "battle_at", "battle_type", "game_version", "winner"),
     "affected_versions": lambda f: state.affected_versions(f.inserted()),
+    "insert_new_battles_all": lambda f: f.inserted_all().select("battle_id", "battle_at", "battle_type", "game_version", "winner"),
+    "affected_versions_all": lambda f: state.affected_versions(f.inserted_all()),
     "player_name_history": lambda f: ingest.player_name_history(f.ranked_sides),
     "constraint_report": _constraints,
     "battle_history": lambda f: ingest.battles_of(f.battles, f.some_players()),
