@@ -13,12 +13,18 @@
    the union sketch filters the rest; exact Jaccard of the whole sets verifies what is left.
 4. Groups. Components of the verified links are found. A list whose members are now all in one
    component is done. In the other short lists, pairs of different components are tested in the same
-   way, so no link between different components is missed. For the members of long lists, the shingles
-   are counted that it has from one hub's set (``both``), and beyond it from any other member (``more``;
-   edits of one copy alone are none). Two sets share at most the lesser of each, which rules out most
-   pairs, and a member with too few for any partner is dropped; members of one hub that need more than
-   what they have of it are paired by the shingles beyond it. Long lists then get more hubs, members with few edits of their own, and the pairs
-   of different components that are still possible are tested.
+   way, so no link between different components is missed.
+5. Long lists. Lists that have members in common form a neighbourhood. Its sets are compared with its majority set
+   M (shingles of more than half of its members), of which near copies differ in few shingles: let D(x)
+   be the symmetric difference of x and M. Then x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+   shingles, and with ``excess(x) = (100 + percent) |D(x)| - (100 - percent) |x|`` they are linked
+   exactly if ``excess(x) + excess(y) <= 2 (100 + percent) |D(x) & D(y)|``. Where the left side is not
+   above zero, the member of least excess is linked with both: one pair a member settles all of those.
+   Other partners share so many elements of D that one is among the first few of both, in order of
+   rarity; lists of these elements first pair each member with one hub, and only what is then in
+   different components meets again, the members outside a neighbourhood's largest component with all.
+   A parity signature bounds the difference of a pair from below inside the join, so hardly any pair
+   that is not a link is written; what is written is verified exactly.
 
 Cases: null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than
 a shingle is one shingle; a null doc_id sorts last and comes back as null; rows that repeat a doc_id, or
@@ -41,9 +47,11 @@ from .components import components
 
 #: Sketch size, and the odds against a pair at the threshold sharing fewer than ``least_shared`` values.
 K, MISSED = 48, 1e-6
-#: Lists with more members than this get more hubs in step 4, in so many rounds at most.
+#: Lists with more members than this are settled in step 5, with so many rounds of hubs.
 LONG_LIST, ROUNDS = 64, 2
 _SIG = ["s0", "s1", "s2", "s3"]
+#: Parity signature of the elements that a member may share with another component.
+_PAR = [f"p{i}" for i in range(16)]
 
 
 def least_shared(k: int, percent: int, missed: float = MISSED) -> int:
@@ -121,22 +129,18 @@ class _Search:
         whole = n <= self.k * self.percent // 100
         return F.when(whole, F.ceil(n * self.percent / 100)).otherwise(F.lit(self.m)).cast("int")
 
-    def likely(self, a: str, b: str) -> Column:
-        """Sizes allow the threshold, and the parity signatures allow the shared values.
+    def sized(self, n: Column, o: Column) -> Column:
+        return (100 * n >= self.percent * o) & (100 * o >= self.percent * n)
 
-        ``hub``, ``both``, ``more``: a set shares at most ``both`` shingles of its hub's set and ``more`` others with any set.
-        """
+    def likely(self, a: str, b: str) -> Column:
+        """Sizes allow the threshold, and the parity signatures allow the shared values."""
         n, o = F.col(f"{a}.n"), F.col(f"{b}.n")
-        both, more = (F.least(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("both", "more"))
-        apart = F.least(F.col(f"{a}.both") + F.col(f"{a}.more"), F.col(f"{b}.both") + F.col(f"{b}.more"))
-        most = F.when(F.col(f"{a}.hub") == F.col(f"{b}.hub"), both + more).otherwise(apart)
-        can = (100 + self.percent) * most >= self.percent * (n + o)
         differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SIG), F.lit(0))
         most = F.least(n, F.lit(self.k)) + F.least(o, F.lit(self.k)) - 2 * F.greatest(self.shared(n), self.shared(o))
-        return can & (differ <= most)
+        return self.sized(n, o) & (differ <= most)
 
     def ranked(self, nodes: DataFrame) -> DataFrame:
-        """node, id, n, signature, vs: the rarest shared values of each node, one beyond the prefix, whose length is ``base``."""
+        """node, id, n, signature, vs: the rarest shared values of each node."""
         values = nodes.select("node", F.explode("sketch").alias("v"))
         often = materialise(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
         by_node = values.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
@@ -144,7 +148,7 @@ class _Search:
         # values that only one document has come first in its order and pair with nothing
         base = F.size("vs") - self.shared(F.col("n")) + 1
         d = d.where(base > 0).withColumn("base", base)
-        return d.withColumn("vs", F.transform(F.slice("vs", F.lit(1), F.col("base") + 1), lambda e: e["v"]))
+        return d.withColumn("vs", F.transform(F.slice("vs", F.lit(1), F.col("base")), lambda e: e["v"])).drop("base")
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold: union-sketch estimate first, exact Jaccard after."""
@@ -193,77 +197,155 @@ class _Search:
         return found if found.count() == n else materialise(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "whole-sets")
 
 
-def _hub_pairs(s: _Search, lists: DataFrame, seed: int = 0) -> DataFrame:
-    """Each member of a list with the list's hub, unless they are in one component: as many pairs as rows.
-
-    The hub is a random one of the members with the least share of shingles that no other has.
-    """
-    member = F.struct("node", "component", "n", "hub", "both", "more", *_SIG)
-    first = F.struct((100 * (F.col("n") - F.col("both") - F.col("more")) / F.col("n")).cast("int").alias("own"), F.xxhash64("id", "v", F.lit(seed)).alias("at"), "node")
-    hubs = lists.groupBy("v").agg(F.min_by(member, first).alias("member"), F.count("*").alias("size")).where("size > 1")
+def _hub_pairs(s: _Search, lists: DataFrame) -> DataFrame:
+    """Each member of a list with the list's hub, a random member: as many pairs as rows."""
+    first = F.struct(F.xxhash64("id", "v").alias("at"), "node")
+    hubs = lists.groupBy("v").agg(F.min_by(F.struct("node", "n", *_SIG), first).alias("member"), F.count("*").alias("size")).where("size > 1")
     hubs = materialise(hubs.select("v", "member.*"), "hubs")
-    at = (F.col("x.v") == F.col("h.v")) & (F.col("x.component") != F.col("h.component")) & s.likely("x", "h")
+    at = (F.col("x.v") == F.col("h.v")) & (F.col("x.node") != F.col("h.node")) & s.likely("x", "h")
     return lists.alias("x").join(hubs.alias("h"), at).select(F.col("x.node").alias("a"), F.col("h.node").alias("b"))
 
 
-def _cross_pairs(s: _Search, lists: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
-    """Pairs of different components that share a list.
-
-    With ``prefixes`` (node, vs), only in the first list that they share, and of the pairs of one hub only
-    those that reach the threshold by what they have of it; the others are ``_rest_pairs``.
-    """
-    at = F.lit(True)
-    if prefixes is not None:
-        lists = lists.join(prefixes, "node")
-        by_hub = F.coalesce(F.col("x.hub") != F.col("y.hub"), F.lit(True)) | (_lacking(s) <= 0)
-        at = by_hub & (F.array_min(F.array_intersect("x.vs", "y.vs")) == F.col("x.v"))
-    at = (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & s.likely("x", "y") & at
+def _cross_pairs(s: _Search, lists: DataFrame) -> DataFrame:
+    """Pairs of different components that share a list."""
+    at = (F.col("x.v") == F.col("y.v")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & s.likely("x", "y")
     return lists.alias("x").join(lists.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _lacking(s: _Search) -> Column:
-    """Hundredths of shingles that x and y have to share, to reach the threshold, beyond what they may both have of their hub."""
-    return s.percent * (F.col("x.n") + F.col("y.n")) - (100 + s.percent) * F.least("x.both", "y.both")
+def _placed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (node) with the component of each node, itself if it is linked with none."""
+    d = rows.drop("component").join(known, "node", "left")
+    return d.withColumn("component", F.coalesce("component", "node"))
 
 
-def _rest_pairs(s: _Search, members: DataFrame) -> DataFrame:
-    """Pairs of one hub and different components that share so many shingles beyond the hub as they lack; found by those shingles."""
-    d = members.withColumn("y", F.explode("shared"))
-    same = F.array_intersect("x.shared", "y.shared")
-    at = (F.col("x.y") == F.col("y.y")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.hub") == F.col("y.hub"))
-    at = at & s.likely("x", "y") & ((100 + s.percent) * F.size(same) >= _lacking(s)) & (F.array_min(same) == F.col("x.y"))
-    return d.alias("x").join(d.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def _open_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Written table of the lists with the components of their members; each row says how many members its list has, and whether they are of two components or more."""
+    lists = materialise(_placed(lists, known), "placed-lists")
+    stats = materialise(lists.groupBy("v").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")), "list-sizes")
+    return materialise(lists.join(stats, "v").withColumn("open", F.col("low") < F.col("high")).drop("high"), "open-lists")
 
 
-def _open_lists(lists: DataFrame) -> DataFrame:
-    """Written table of the lists with members of two components or more, and their length."""
-    d = lists.groupBy("v").agg(F.count("*").alias("size"), F.min("component").alias("p"), F.max("component").alias("q"))
-    return materialise(d.where("p <> q").select("v", "size"), "open-lists")
+class _Neighbourhoods:
+    """Step 5: the links that the members of long lists have beyond those in ``found``.
 
+    ``long``: rows (v, node, component, low) of the long lists, ``low`` the smallest component of the list.
+    """
 
-def _placed(lists: DataFrame, known: DataFrame) -> DataFrame:
-    return materialise(lists.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-lists")
+    def __init__(self, s: _Search, nodes: DataFrame, long: DataFrame, found: DataFrame):
+        self.s, self.found, self.known = s, found, components(found)
+        self.unit, self.free = 100 + s.percent, 100 - s.percent
+        spread = components(materialise(long.select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "list-links"))
+        own = materialise(long.select("node", "component").distinct(), "long-nodes")
+        place = spread.select(F.col("node").alias("component"), F.col("component").alias("place"))
+        own = materialise(own.join(place, "component").select("node", "place"), "long-places")
+        self.differing(own.join(s.sets(own.select("node"), nodes), "node"))
+
+    def differing(self, sets: DataFrame) -> None:
+        """Written table ``self.members``: node, place, n, delta (difference from the majority set), excess."""
+        sets = materialise(sets, "place-sets")
+        sizes = sets.groupBy("place").agg(F.count("*").alias("members"))
+        often = sets.select("place", F.explode("hashes").alias("u")).groupBy("place", "u").agg(F.count("*").alias("df"))
+        # at most twice the mean size of a set
+        major = often.join(sizes, "place").where(2 * F.col("df") > F.col("members")).groupBy("place").agg(F.collect_list("u").alias("major"))
+        major = materialise(major, "majority-sets")
+        d = sets.join(major, "place", "left").withColumn("major", F.coalesce("major", F.array().cast("array<long>")))
+        d = d.withColumn("delta", F.concat(F.array_except("hashes", "major"), F.array_except("major", "hashes"))).withColumn("n", F.size("hashes"))
+        d = d.withColumn("excess", (self.unit * F.size("delta") - self.free * F.col("n")).cast("long"))
+        self.members = materialise(d.select("node", "place", "n", "delta", "excess"), "place-members")
+
+    def learn(self, links: DataFrame) -> bool:
+        """Add links; whether there were any."""
+        new = materialise(links, "place-links")
+        if new.isEmpty():
+            return False
+        self.found = materialise(self.found.unionByName(new), "all-links")
+        self.known = components(self.found)
+        return True
+
+    def centre_links(self) -> DataFrame:
+        """The member of least excess of each place with those that it is linked with, whatever they share."""
+        d = self.members.select("node", "place", "excess")
+        least = materialise(d.groupBy("place").agg(F.min(F.struct("excess", "node")).alias("c")), "centres")
+        d = joined(d, least, ["place"], "inner").where((F.col("excess") + F.col("c.excess") <= 0) & (F.col("node") != F.col("c.node")))
+        return d.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+
+    def entries(self) -> DataFrame:
+        """Written table of the lists of elements: place, u, node, component, n, excess, alone (elements that no other component has), signature.
+
+        A member has a row for each element of its prefix: of the elements of D that two components have, the rarest, so many that it shares one with every partner.
+        """
+        d = materialise(_placed(self.members.select("node", "place", "n", "excess", F.size("delta").alias("d")), self.known), "placed-members")
+        values = self.members.select("node", "place", F.explode("delta").alias("u")).join(d.select("node", "component"), "node")
+        shared = values.groupBy("place", "u").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+        shared = materialise(shared.where("low < high").select("place", "u", "df"), "shared-elements")
+        own = values.join(shared, ["place", "u"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("us"))
+        # the least excess of a partner: of the other components of the place
+        least = d.groupBy("place", "component").agg(F.min("excess").alias("e")).groupBy("place").agg(F.min(F.struct("e", "component")).alias("first"), F.count("*").alias("components"))
+        least = materialise(least.where("components > 1").select("place", "first"), "least-excess")
+        other = d.join(least, "place").where(F.col("component") != F.col("first.component")).groupBy("place").agg(F.min("excess").alias("second"))
+        least = materialise(least.join(other, "place"), "least-two")
+        d = joined(d, least, ["place"], "inner").join(own, "node")
+        partner = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.e"))
+        by_excess = F.ceil((F.col("excess") + partner) / (2 * self.unit) - 1e-9)
+        by_size = F.ceil(F.col("d") - F.col("n") * self.free / self.s.percent - 1e-9)
+        prefix = F.size("us") - F.greatest(F.lit(1), by_excess, by_size) + 1
+        d = d.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+        d = d.select("place", "node", "component", "n", "excess", (F.col("d") - F.size("us")).alias("alone"), "prefix", F.transform("us", lambda x: x["u"]).alias("us"))
+        kinds = "place long, node long, component long, n int, excess long, alone int, prefix int, us array<long>"
+        signed = d.mapInArrow(_parities, ", ".join([kinds, *(f"{c} long" for c in _PAR)]))
+        return materialise(signed.select("place", "node", "component", "n", "excess", "alone", *_PAR, F.explode(F.slice("us", F.lit(1), F.col("prefix"))).alias("u")), "element-lists")
+
+    def near(self, a: str, b: str) -> Column:
+        """Different components, and the signatures do not show that the two differ in too many shingles."""
+        x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+        differ = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in _PAR), x("alone") + y("alone"))
+        return (x("component") != y("component")) & self.s.sized(x("n"), y("n")) & (self.unit * differ <= self.free * (x("n") + y("n")))
+
+    def hub_pairs(self, entries: DataFrame) -> DataFrame:
+        """Each entry with its list's member of least excess."""
+        fields = ["node", "component", "n", "alone", *_PAR]
+        hubs = entries.groupBy("place", "u").agg(F.min_by(F.struct(*fields), F.struct("excess", "node")).alias("member"))
+        hubs = materialise(hubs.select("place", "u", "member.*"), "element-hubs")
+        at = (F.col("x.place") == F.col("h.place")) & (F.col("x.u") == F.col("h.u")) & self.near("x", "h")
+        return entries.alias("x").join(hubs.alias("h"), at).select(F.col("x.node").alias("a"), F.col("h.node").alias("b"))
+
+    def rest_pairs(self, entries: DataFrame) -> DataFrame:
+        """Entries outside the largest component of their place with all of their list."""
+        most = entries.select("place", "component", "node").distinct().groupBy("place", "component").agg(F.count("*").alias("c"))
+        most = materialise(most.groupBy("place").agg(F.max_by("component", "c").alias("largest")), "largest-components")
+        d = materialise(joined(entries, most, ["place"], "inner"), "sided-elements")
+        few = d.where(F.col("component") != F.col("largest"))
+        once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+        at = (F.col("x.place") == F.col("y.place")) & (F.col("x.u") == F.col("y.u")) & once & self.near("x", "y")
+        return few.alias("x").join(d.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold, by their whole differences."""
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "place-pairs")
+        side = lambda c: self.members.select(F.col("node").alias(c), F.col("delta").alias(f"d{c}"), F.col("excess").alias(f"e{c}"))
+        d = pairs.join(side("a"), "a").join(side("b"), "b")
+        return d.where(F.col("ea") + F.col("eb") <= 2 * self.unit * F.size(F.array_intersect("da", "db"))).select("a", "b")
+
+    def links(self) -> DataFrame:
+        """All links found: those given and those of the neighbourhoods."""
+        self.learn(self.centre_links())
+        for _ in range(ROUNDS):
+            if not self.learn(self.exact(self.hub_pairs(self.entries()))):
+                break
+        self.learn(self.exact(self.rest_pairs(self.entries())))
+        return self.found
 
 
-def _able(s: _Search, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written table of the nodes of ``lists`` whose sets share enough with those of other nodes to reach the threshold with one: node, hub, both, more, and ``shared``, the ``more`` shingles.
+def _parities(batches: Iterator) -> Iterator:
+    """Adds the parity signature of each row's elements."""
+    import pyarrow as pa
 
-    A node is held against one hub of its lists: what both have is shared; of the rest, a shingle is
-    shared if another node has it beyond its own hub, or a hub has it. The count is never too low.
-    """
-    hubs = materialise(lists.groupBy("v").agg(F.min(_place("node")).alias("hub")), "set-hubs")
-    of = lists.select("node", "v").join(hubs, "v").groupBy("node").agg(F.min("hub")["node"].alias("hub"))
-    of = materialise(of, "set-hub-of")
-    sets = s.sets(materialise(of.select("node"), "long-nodes"), nodes)
-    own = sets.select("node", F.col("hashes").alias("own"))
-    hub_sets = materialise(sets.join(of.select(F.col("hub").alias("node")).distinct(), "node", "left_semi"), "hub-sets")
-    d = of.join(own, "node").join(hub_sets.select(F.col("node").alias("hub"), F.col("hashes").alias("theirs")), "hub")
-    d = materialise(d.select("node", "hub", F.size("own").alias("n"), F.size(F.array_intersect("own", "theirs")).cast("long").alias("both"), F.array_except("own", "theirs").alias("rest")), "set-rests")
-    rest = d.select("node", F.explode("rest").alias("y"))
-    seen = rest.select("y").unionByName(hub_sets.select(F.explode("hashes").alias("y"))).groupBy("y").count().where("count > 1")
-    more = rest.join(materialise(seen.select("y"), "shared-rest"), "y").groupBy("node").agg(F.collect_list("y").alias("shared"))
-    d = d.join(more, "node", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>"))).withColumn("more", F.size("shared").cast("long"))
-    return materialise(d.where(100 * (F.col("both") + F.col("more")) >= s.percent * F.col("n")).select("node", "hub", "both", "more", "shared"), "able-nodes")
+    for batch in batches:
+        us, bits = batch.column("us"), 64 * len(_PAR)
+        row = np.repeat(np.arange(len(us)), np.asarray(us.value_lengths()))
+        odd = np.bincount(row * bits + (us.flatten().to_numpy() & (bits - 1)), minlength=len(us) * bits).astype(np.uint8) & 1
+        sig = np.packbits(odd.reshape(len(us), bits), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(sig[:, i]) for i in range(len(_PAR)))], names=[*batch.schema.names, *_PAR])
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -274,32 +356,19 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> D
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.th", "key", "n", "sketch", *_SIG)
     nodes = materialise(nodes, "nodes")
     ranked = materialise(s.ranked(nodes), "ranked-values")
-    lists = ranked.select("node", "id", "n", *_SIG, "base", F.posexplode("vs").alias("i", "v")).where("i < base").drop("i", "base")
-    lists = materialise(lists.withColumns({"component": F.col("node"), "hub": F.lit(None).cast("long"), "both": F.col("n"), "more": F.lit(0).cast("long")}), "lists")
+    lists = materialise(ranked.select("node", "id", "n", *_SIG, F.explode("vs").alias("v")), "lists")
     found = materialise(s.links(_hub_pairs(s, lists), nodes), "hub-links")
     known = components(found)
 
-    placed = _placed(lists, known)
-    still = _open_lists(placed)
-    pairs = _cross_pairs(s, placed.join(still.where(F.col("size").between(3, LONG_LIST)).select("v"), "v", "left_semi"))
-    if not still.where(F.col("size") > LONG_LIST).isEmpty():
-        long = materialise(placed.join(still.where(F.col("size") > LONG_LIST).select("v"), "v", "left_semi"), "long-lists")
-        able = _able(s, long, nodes)
-        long = materialise(long.drop("hub", "both", "more").join(able.drop("shared"), "node"), "able-lists")
-        for seed in range(1, ROUNDS + 1):
-            new = materialise(s.links(_hub_pairs(s, long, seed), nodes), "hub-links")
-            if new.isEmpty():
-                break
-            found = materialise(found.unionByName(new), "all-links")
-            known = components(found)
-            long = _placed(long, known)
-            long = materialise(long.join(_open_lists(long).select("v"), "v", "left_semi"), "long-lists")
-        pairs = pairs.unionByName(_cross_pairs(s, long.join(_open_lists(long).select("v"), "v", "left_semi"), ranked.select("node", F.slice("vs", F.lit(1), F.col("base")).alias("vs"))))
-        members = long.drop("v").distinct().join(able.select("node", "shared"), "node")
-        pairs = pairs.unionByName(_rest_pairs(s, members))
-    new = materialise(s.links(pairs, nodes), "cross-links")
+    lists = _open_lists(lists, known).where("open")
+    new = materialise(s.links(_cross_pairs(s, lists.where(F.col("size").between(3, LONG_LIST))), nodes), "cross-links")
+    long = lists.where(F.col("size") > LONG_LIST)
     if not new.isEmpty():
-        known = components(found.unionByName(new))
+        found = materialise(found.unionByName(new), "all-links")
+        known = components(found)
+    if not long.isEmpty():
+        found = _Neighbourhoods(s, nodes, long, found).links()
+        known = components(found)
     first = nodes.select("node", "id", "th").join(known, "node").groupBy("component").agg(F.min(_place("th")).alias("first"))
     first = materialise(first.select("component", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th")), "group-firsts")
     linked = materialise(joined(known, first, ["component"], "inner").select("node", "first_id", "first_th"), "linked-nodes")

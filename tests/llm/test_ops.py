@@ -308,7 +308,7 @@ def test_near_duplicates(spark, none, size, monkeypatch):
 def test_near_duplicates_odd_ids(spark):
     d = docs(spark, ["a b c", "a b c", "z y x", "", ""], ids=[None, 4, None, 7, 7])
     got = sorted((str(r.doc_id), str(r.component_id)) for r in near_dedup.near_duplicates(d, size=2).collect())
-    # rows without doc_id are one node; so is a doc_id that repeats
+    # rows are linked by their texts alone, whatever their doc_id
     assert got == [("4", "4"), ("7", "7"), ("7", "7"), ("None", "4"), ("None", "None")]
 
 
