@@ -14,19 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_battles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One battle a line item, with repeated battle_ids; ``batch_no`` says with which of four batches it arrives."""
+def raw_battles(spark: SparkSession, sf_dir: str, first_only: bool = False) -> DataFrame:
+    """One battle a line item, with repeated battle_ids; ``batch_no`` says with which of four batches it arrives.
+
+    With ``first_only``, the first line item of each battle_id alone, found before anything is joined to it but its order:
+    rows are dealt out by order for that join, and sorted while they are narrow.
+    """
     customers = table(spark, sf_dir, "customer")
-    n_players = customers.count() // 10
-    people = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_custkey") < n_players)
+    np = customers.agg(F.floor(F.count("*") / 10).cast("long")).scalar()
+    people = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_custkey") < np)
     people = people.select(F.col("c_custkey").alias("p"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("language"), F.col("n_regionkey").cast("int").alias("region"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     d = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    np = F.lit(n_players).cast("long")
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     d = d.withColumns({"day": F.unix_date(F.to_date("l_shipdate")).cast("long"), "q": F.col("l_quantity").cast("int"), "k": part + 7 * supp + line, "y": F.year("l_shipdate"), "p1": F.col("o_custkey") % np})
     d = d.withColumn("p2", (F.col("p1") + 1 + supp % (np - 1)) % np)
+    d = d.withColumn("battle_at", (F.col("day") * 86400 + (part * 37 + supp * 11 + F.col("q")) % 86400).cast("long"))
+    if first_only:
+        d = dedupe_first(d, ["l_orderkey", "l_linenumber"], DEDUPE_ORDER)
     winner = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(1 + supp % 2).cast("int")
     d = d.withColumn("winner", winner)
     sides = {}
@@ -53,7 +59,7 @@ def raw_battles(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(F.col("y") < 1999, 10001 + (F.col("y") - 1994) * 100).otherwise(20000 + F.col("y") - 1998)
     return d.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string")).alias("battle_id"),
-        (F.col("day") * 86400 + (part * 37 + supp * 11 + F.col("q")) % 86400).cast("long").alias("battle_at"),
+        "battle_at",
         kind.cast("int").alias("battle_type"),
         version.cast("int").alias("game_version"),
         *(c.alias(n) for n, c in sides.items()),
@@ -68,4 +74,5 @@ def raw_battles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_first(raw_battles(spark, sf_dir), ["battle_id"], DEDUPE_ORDER)
+    """One row a battle_id: the first."""
+    return raw_battles(spark, sf_dir, first_only=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ingest import with_region
@@ -53,6 +53,13 @@ def write_cells(cells: DataFrame, path: str) -> None:
     d.repartition("game_version").write.partitionBy("game_version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Cells as ``build_cells`` gives them; a filter on the version reads its partitions alone."""
+    kinds = "character_id string, dan_rank int, category string, region_id int, total_wins long, total_losses long, total_players long, total_replays long, game_version int"
+    d = spark.read.schema(kinds).parquet(path)
+    return d.select(*CELL, "total_wins", "total_losses", "total_players", "total_replays")
+
+
 def refresh_cells(stats: DataFrame, path: str, versions: list[int] | None) -> None:
     """Recompute the cells of some versions, or of all."""
     write_cells(build_cells(stats if versions is None else stats.where(F.col("game_version").isin(versions))), path)

@@ -51,11 +51,11 @@ def known_player_ids(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return df.where(ok), df.where(~ok)
 
 
-def _side(k: int) -> Column:
+def _side(k: int) -> list[Column]:
     """Player k's view of a battle; the other side's columns have the prefix opp_."""
     o = 3 - k
     own = [F.col(f"player{k}_{c}").alias(c) for c in SIDE_COLUMNS if c not in ("id", "character_id", "region")]
-    return F.struct(
+    return [
         F.lit(k).alias("side"),
         pad18(F.col(f"player{k}_id")).alias("player_id"),
         F.col(f"player{k}_character_id").cast("string").alias("character_id"),
@@ -66,13 +66,20 @@ def _side(k: int) -> Column:
         F.col(f"player{o}_dan_rank").alias("opp_dan_rank"),
         # any winner that is not this side is a loss, a draw for both
         F.coalesce(F.col("winner") == k, F.lit(False)).alias("is_win"),
-    )
+    ]
+
+
+_SIDE_NAMES = ["side", "player_id", "character_id", "region_id", *(c for c in SIDE_COLUMNS if c not in ("id", "character_id", "region")), "opp_player_id", "opp_character_id", "opp_dan_rank", "is_win"]
 
 
-def to_sides(battles: DataFrame) -> DataFrame:
-    """Two rows a battle, one from each player's view; one scan."""
-    shared = [c for c in ("battle_id", "battle_at", "battle_type", "game_version", "stageid", "winner") if c in battles.columns]
-    return battles.select(*shared, F.explode(F.array(_side(1), _side(2))).alias("s")).select(*shared, "s.*")
+def to_sides(battles: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Two rows a battle, one from each player's view; one scan.
+
+    With ``columns``, only those: what is not asked for is not copied to the two rows (a generator's unused fields are not pruned by themselves).
+    """
+    shared = [c for c in ("battle_id", "battle_at", "battle_type", "game_version", "stageid", "winner") if c in battles.columns and (columns is None or c in columns)]
+    views = [F.struct(*(c for c, name in zip(_side(k), _SIDE_NAMES, strict=True) if columns is None or name in columns)) for k in (1, 2)]
+    return battles.select(*shared, F.explode(F.array(*views)).alias("s")).select(*shared, "s.*")
 
 
 def battle_view(battles: DataFrame) -> DataFrame:

@@ -131,15 +131,19 @@ def player_profile(players: DataFrame, stats: DataFrame, sides: DataFrame) -> Da
     return head.join(d, "player_id", "left").withColumn("character", name_of("character", F.col("character_id")))
 
 
-def nested_profiles(players: DataFrame, stats: DataFrame, sides: DataFrame, history: DataFrame) -> DataFrame:
-    """One row a player: attributes, a map of characters with their matchups, and the battles, newest first (``history`` has player_id)."""
+def history_pages(history: DataFrame, days: int = 30) -> DataFrame:
+    """A player's battles (``history`` has player_id), newest first, in a row for each ``days`` days that have any: however long a history is, a row holds one period."""
+    page = F.floor(F.col("battle_at") / (86400 * days)).alias("page")
+    fields = [c for c in history.columns if c not in ("player_id", "battle_at")]
+    return history.groupBy("player_id", page).agg(F.sort_array(F.collect_list(F.struct("battle_at", *fields)), asc=False).alias("battles"))
+
+
+def nested_profiles(players: DataFrame, stats: DataFrame, sides: DataFrame) -> DataFrame:
+    """One row a player: attributes and a map of characters with their matchups; both are bounded by the number of characters. The battles are in ``history_pages``."""
     flat = player_profile(players, stats, sides)
     m = player_matchups(sides).withColumn("opponent", name_of("character", F.col("opp_character_id")))
     m = m.groupBy("player_id", "character_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("opponent", F.struct("wins", "losses", "total", F.col("winrate").cast("float").alias("winrate")))))).alias("matchups"))
     flat = flat.join(m, ["player_id", "character_id"], "left")
     summary = F.struct("wins", "losses", F.col("winrate").cast("float").alias("winrate"), "current_season_rank", "previous_season_rank", "best_opponent", "best_winrate", "worst_opponent", "worst_winrate", "matchups")
     attributes = ["player_id", "name", "region_id", "polaris_id", "power", "latest_battle", "main_character", "main_rank"]
-    d = flat.groupBy(*attributes).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("character").isNotNull(), F.struct("character", summary.alias("s")))), lambda a, b: F.when(a["character"] < b["character"], -1).otherwise(1))).alias("played_characters"))
-    fields = [c for c in history.columns if c != "player_id"]
-    rows = history.groupBy("player_id").agg(F.sort_array(F.collect_list(F.struct("battle_at", *(c for c in fields if c != "battle_at"))), asc=False).alias("battles"))
-    return d.join(rows, "player_id", "left")
+    return flat.groupBy(*attributes).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("character").isNotNull(), F.struct("character", summary.alias("s")))), lambda a, b: F.when(a["character"] < b["character"], -1).otherwise(1))).alias("played_characters"))

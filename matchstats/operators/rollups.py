@@ -106,11 +106,10 @@ def version_winrates(cells: DataFrame, with_global: bool = False, n_versions: in
 
 
 def version_delta(rates: DataFrame) -> DataFrame:
-    """Change between versions of each (character, tier): difference of the rounded rates, newer less older."""
-    new = rates.where("rate IS NOT NULL AND rank_category IS NOT NULL").alias("a")
-    old = rates.where("rate IS NOT NULL AND rank_category IS NOT NULL").alias("b")
-    at = (F.col("a.character_id") == F.col("b.character_id")) & (F.col("a.rank_category") == F.col("b.rank_category")) & (F.col("a.game_version") > F.col("b.game_version"))
-    return new.join(old, at).select("a.character_id", "a.rank_category", (F.col("a.rate") - F.col("b.rate")).alias("delta"))
+    """Change of each (character, tier) from the older to the newer of two versions: difference of the rounded rates. ``rates`` has two versions at most."""
+    d = rates.where("rate IS NOT NULL AND rank_category IS NOT NULL").groupBy("character_id", "rank_category")
+    d = d.agg((F.max_by("rate", "game_version") - F.min_by("rate", "game_version")).alias("delta"), F.count("*").alias("n"))
+    return d.where("n = 2").drop("n")
 
 
 def winrate_changes(cells: DataFrame, k: int | None = 2, with_global: bool = False) -> DataFrame:

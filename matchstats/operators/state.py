@@ -8,7 +8,7 @@ lowest battle_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import ranked, to_sides
@@ -29,7 +29,8 @@ def latest_by(df: DataFrame, key: list[str], ts: str, tie: str, cols: list[str])
 # ---- players
 
 
-def _merge_players(d: DataFrame) -> DataFrame:
+def merge_players(d: DataFrame) -> DataFrame:
+    """Player states merged by player; takes those of characters too, as they carry the same attributes."""
     by = {"polaris_id": "first_key", "name": "last_key", "power": "last_key", "region_id": "region_key", "language": "language_key"}
     keys = [F.min(k).alias(k) for k in ("first_key", "last_key", "region_key", "language_key")]
     return d.groupBy("player_id").agg(*(F.min_by(c, k).alias(c) for c, k in by.items()), *keys)
@@ -38,7 +39,7 @@ def _merge_players(d: DataFrame) -> DataFrame:
 def player_state(sides: DataFrame) -> DataFrame:
     """State of players from (ranked) sides: attributes of the latest battle; the region and language are the latest that are known; polaris_id is the first seen."""
     first = F.struct(F.col("battle_at").alias("t"), F.col("battle_id").alias("id"))
-    return _merge_players(
+    return merge_players(
         sides.select(
             "player_id", "polaris_id", "name", "power", "region_id", "language", first.alias("first_key"), _latest().alias("last_key"),
             F.when(F.col("region_id").isNotNull(), _latest()).alias("region_key"), F.when(F.col("language").isNotNull(), _latest()).alias("language_key"),
@@ -48,7 +49,7 @@ def player_state(sides: DataFrame) -> DataFrame:
 
 def upsert_players(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Merge two states; a full row is never rewritten by an older one."""
-    return _merge_players(target.unionByName(batch))
+    return merge_players(target.unionByName(batch))
 
 
 def players(state: DataFrame) -> DataFrame:
@@ -77,9 +78,45 @@ def character_stats(state: DataFrame) -> DataFrame:
     return state.select(*_KEY, "dan_rank", (-F.col("last_key.t")).alias("latest_battle"), "wins", "losses")
 
 
+# ---- both in one
+
+
+#: What ``character_state`` reads of a side.
+STATE_SIDE = ["battle_id", "battle_at", *_KEY, "dan_rank", "is_win", "polaris_id", "name", "power", "region_id", "language"]
+
+
+def merge_states(d: DataFrame) -> DataFrame:
+    by = {"dan_rank": "last_key", "polaris_id": "first_key", "name": "last_key", "power": "last_key", "region_id": "region_key", "language": "language_key"}
+    keys = [F.min(k).alias(k) for k in ("first_key", "last_key", "region_key", "language_key")]
+    return d.groupBy(*_KEY).agg(*(F.min_by(c, k).alias(c) for c, k in by.items()), *keys, *(F.sum(c).alias(c) for c in ("wins", "losses")))
+
+
+def character_state(sides: DataFrame) -> DataFrame:
+    """Counters, rank and player attributes of each (player, character, version), with the times that they come from.
+
+    One pass over (ranked) sides gives it; ``character_stats``, and ``players`` of ``merge_players``, follow from it alone.
+    """
+    first = F.struct(F.col("battle_at").alias("t"), F.col("battle_id").alias("id"))
+    win = F.col("is_win").cast("long")
+    return merge_states(
+        sides.select(
+            *_KEY, "dan_rank", "polaris_id", "name", "power", "region_id", "language", first.alias("first_key"), _latest().alias("last_key"),
+            F.when(F.col("region_id").isNotNull(), _latest()).alias("region_key"), F.when(F.col("language").isNotNull(), _latest()).alias("language_key"),
+            win.alias("wins"), (1 - win).alias("losses"),
+        )
+    )
+
+
+def with_region(state: DataFrame) -> DataFrame:
+    """Statistics with the region of their player and total_plays: the player's rows are in one place anyway for the main character, so this is a window, not a join."""
+    region = F.min_by("region_id", "region_key").over(Window.partitionBy("player_id"))
+    d = state.withColumn("region_id", region).withColumn("total_plays", F.col("wins") + F.col("losses"))
+    return d.select(*_KEY, "dan_rank", (-F.col("last_key.t")).alias("latest_battle"), "wins", "losses", "region_id", "total_plays")
+
+
 def rebuild_character_stats(battles: DataFrame) -> DataFrame:
     """Full recomputation from ranked battles."""
-    return character_stats(stats_delta(to_sides(ranked(battles))))
+    return character_stats(stats_delta(to_sides(ranked(battles), ["battle_id", "battle_at", *_KEY, "dan_rank", "is_win"])))
 
 
 def replace_counts(target: DataFrame, rebuilt: DataFrame) -> DataFrame:

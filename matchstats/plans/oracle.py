@@ -74,7 +74,7 @@ _BASE = {
     "chars": _values("chars", CHARACTERS),
     "ranks": _values("ranks", RANKS),
     "types": _values("types", BATTLE_TYPES),
-    "inserted": """inserted AS (SELECT * FROM raw WHERE batch_no IN (1, 2) AND battle_id NOT IN (SELECT battle_id FROM raw WHERE batch_no IN (0, 1))
+    "inserted": """inserted AS (SELECT * FROM raw WHERE batch_no IN (2, 3) AND battle_id NOT IN (SELECT battle_id FROM raw WHERE batch_no IN (0, 1, 2))
       QUALIFY row_number() OVER (PARTITION BY battle_id ORDER BY battle_at, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)""",
     "totals": "totals AS (SELECT player_id, character_id, max(dan_rank) AS dan_rank, sum(wins + losses)::BIGINT AS total_plays FROM stats GROUP BY ALL)",
     "main": "main AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY dan_rank DESC, total_plays DESC, character_id::INT) = 1)",
@@ -152,7 +152,7 @@ _SELECT: dict[str, str] = {
     "affected_versions": "SELECT DISTINCT game_version FROM inserted WHERE battle_type = 2",
     "player_name_history": "SELECT player_id, name, min(battle_at) AS first_seen, max(battle_at) AS last_seen FROM sides WHERE name IS NOT NULL GROUP BY ALL",
     "constraint_report": _checks(),
-    "battle_history": f"SELECT lpad(p, 18, '0') AS player_id, {_BATTLE} FROM battles JOIN (SELECT unnest(range(10))::VARCHAR AS p) ON p IN (player1_id, player2_id)",
+    "battle_history": f"SELECT lpad(p, 18, '0') AS player_id, {_BATTLE} FROM (SELECT *, unnest([player1_id, player2_id]) AS p FROM battles)",
     "water_marks": "SELECT * FROM marks",
     "backfill_pages": "SELECT page_no, page_end, page_start FROM pages_",
     "page_coverage": "SELECT page_no, page_start, page_end, count(battle_id) AS battles FROM pages_ LEFT JOIN battles ON battle_at > page_start AND battle_at <= page_end GROUP BY ALL",
@@ -205,7 +205,7 @@ _SELECT: dict[str, str] = {
     "player_profile": f"""SELECT {_HEAD}, main_character, main_rank, t.character_id, wins, losses, winrate, current_season_rank, previous_season_rank, best_opponent, best_winrate, worst_opponent, worst_winrate,
       coalesce(c.label, 'Undefined Character ID: ' || t.character_id) AS character
       FROM players JOIN (SELECT player_id, main_character, main_rank FROM named) USING (player_id) JOIN ctotals t USING (player_id) JOIN season USING (player_id, character_id) LEFT JOIN bw USING (player_id, character_id)
-      LEFT JOIN chars c ON c.code = t.character_id WHERE player_id::BIGINT < 10""",
+      LEFT JOIN chars c ON c.code = t.character_id""",
     "rank_tiers": f"SELECT DISTINCT dan_rank, {_tier()} AS tier, {_tier('beginner')} AS tier_or_beginner FROM sides",
     "named_characters": "SELECT character_id, count(*) AS sides, coalesce(label, 'Undefined Character ID: ' || character_id) AS name FROM sides LEFT JOIN chars ON code = character_id GROUP BY character_id, label",
     "format_ids": f"SELECT player_id, ltrim(player_id, '0') AS short_id, {_FORMAT} AS formatted_id FROM players",

@@ -11,6 +11,7 @@ from .. import fixtures
 from ..functions import scalars
 from ..operators import backfill, cells, ingest, players, rollups, state
 from ..schema import with_names
+from .store import Store
 
 PAGE_WIDTH, PAGE_STEP = 700_000, 640_000
 SEARCH, SEARCH_ID = "customer#00000001", "P000-0000-0001"
@@ -18,7 +19,7 @@ _ORDER = fixtures.DEDUPE_ORDER
 
 
 class Frames:
-    """The frames that queries start from, built when asked for."""
+    """The frames that queries start from, built when asked for: from the line items, or from the written tables of ``Store``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -28,20 +29,33 @@ class Frames:
         return fixtures.raw_battles(self.spark, self.sf_dir)
 
     @property
-    def battles(self) -> DataFrame:
+    def first_battles(self) -> DataFrame:
+        """Battles without repeats, from the line items."""
         return fixtures.battles(self.spark, self.sf_dir)
 
     @property
-    def ranked_sides(self) -> DataFrame:
-        return ingest.to_sides(ingest.ranked(self.battles))
+    def store(self) -> Store:
+        return Store.of(self.spark, self.sf_dir)
+
+    @property
+    def battles(self) -> DataFrame:
+        return self.store.battles
+
+    def sides(self, *columns: str) -> DataFrame:
+        """Sides of ranked battles."""
+        return ingest.to_sides(ingest.ranked(self.battles), list(columns))
+
+    @property
+    def matchups(self) -> DataFrame:
+        return players.player_matchups(self.sides("player_id", "character_id", "opp_character_id", "is_win"))
 
     @property
     def stats(self) -> DataFrame:
-        return state.rebuild_character_stats(self.battles)
+        return self.store.stats
 
     @property
     def players(self) -> DataFrame:
-        return state.players(state.player_state(self.ranked_sides))
+        return self.store.players
 
     @property
     def stats_with_region(self) -> DataFrame:
@@ -49,19 +63,14 @@ class Frames:
 
     @property
     def cells(self) -> DataFrame:
-        return cells.build_cells(self.stats_with_region)
+        return self.store.cells
 
-    def first_batches(self) -> tuple[DataFrame, DataFrame]:
+    def first_batches(self, columns: list[str]) -> tuple[DataFrame, DataFrame]:
         """Ranked sides of batches 0 to 2, and of batch 3."""
         b = ingest.ranked(self.battles)
-        return ingest.to_sides(b.where("batch_no < 3")), ingest.to_sides(b.where("batch_no = 3"))
+        return ingest.to_sides(b.where("batch_no < 3"), columns), ingest.to_sides(b.where("batch_no = 3"), columns)
 
     def inserted(self) -> DataFrame:
-        """What a second delivery, batches 1 and 2, adds to batches 0 and 1."""
-        stored = ingest.dedupe_first(self.raw.where("batch_no IN (0, 1)"), ["battle_id"], _ORDER)
-        return ingest.insert_new(stored, self.raw.where("batch_no IN (1, 2)"), ["battle_id"], _ORDER)
-
-    def inserted_all(self) -> DataFrame:
         """What a second delivery, batches 2 and 3, adds to batches 0 to 2: each battle is stored, delivered or both."""
         stored = ingest.dedupe_first(self.raw.where("batch_no IN (0, 1, 2)"), ["battle_id"], _ORDER)
         return ingest.insert_new(stored, self.raw.where("batch_no IN (2, 3)"), ["battle_id"], _ORDER)
@@ -70,27 +79,19 @@ class Frames:
         """Ids of every player of a battle, ranked or not, without padding."""
         return self.battles.select(F.explode(F.array("player1_id", "player2_id")).alias("player_id")).distinct()
 
-    def some_players(self) -> DataFrame:
-        """Ids of players 0 to 9, without padding."""
-        return self.spark.range(10).select(F.col("id").cast("string").alias("player_id"))
-
-    def some_full_players(self) -> DataFrame:
-        own = self.some_players().select(scalars.pad18(F.col("player_id")).alias("player_id"))
-        return self.players.join(own, "player_id", "left_semi")
-
 
 def _upsert_players(f: Frames) -> DataFrame:
-    old, new = (state.player_state(s) for s in f.first_batches())
+    old, new = (state.player_state(s) for s in f.first_batches(state.STATE_SIDE))
     return state.players(state.upsert_players(old, new))
 
 
 def _upsert_stats(f: Frames) -> DataFrame:
-    old, new = (state.stats_delta(s) for s in f.first_batches())
+    old, new = (state.stats_delta(s) for s in f.first_batches(state.STATE_SIDE))
     return state.character_stats(state.upsert_character_stats(old, new))
 
 
 def _old_stats(f: Frames) -> DataFrame:
-    return state.character_stats(state.stats_delta(f.first_batches()[0]))
+    return state.character_stats(state.stats_delta(f.first_batches(state.STATE_SIDE)[0]))
 
 
 def _constraints(f: Frames) -> DataFrame:
@@ -114,7 +115,7 @@ def _resolve(f: Frames) -> DataFrame:
 
 
 def _valid(f: Frames) -> DataFrame:
-    ids = f.ranked_sides.select("polaris_id").distinct()
+    ids = f.sides("polaris_id").distinct()
     d = ids.select(F.explode(F.array("polaris_id", scalars.format_id(F.col("polaris_id")), F.concat("polaris_id", F.lit("9")))).alias("id"))
     return d.withColumn("valid", scalars.valid_player_id(F.col("id")))
 
@@ -135,46 +136,56 @@ def _pages(f: Frames) -> DataFrame:
     return backfill.backfill_pages(ingest.water_marks(f.battles), PAGE_WIDTH, PAGE_STEP)
 
 
+_MATCHUP_SIDE = ["player_id", "character_id", "opp_character_id", "is_win"]
+
+
 def _profiles(f: Frames) -> DataFrame:
-    return players.player_profile(f.some_full_players(), f.stats, f.ranked_sides)
+    return players.player_profile(f.players, f.stats, f.sides(*_MATCHUP_SIDE))
+
+
+def _new_battles(f: Frames) -> DataFrame:
+    return f.inserted().select("battle_id", "battle_at", "battle_type", "game_version", "winner")
+
+
+def _new_versions(f: Frames) -> DataFrame:
+    return state.affected_versions(f.inserted())
 
 
-def _all_profiles(f: Frames) -> DataFrame:
-    return players.player_profile(f.players, f.stats, f.ranked_sides)
+def _history(f: Frames) -> DataFrame:
+    return ingest.battles_of(f.battles, f.all_players())
 
 
-def _nested_profiles(f: Frames) -> DataFrame:
-    history = ingest.battles_of(f.battles, f.all_players())
-    return players.nested_profiles(f.players, f.stats, f.ranked_sides, history)
+def _built_cells(f: Frames) -> DataFrame:
+    """From the line items, in one pass over them."""
+    sides = ingest.to_sides(ingest.ranked(f.first_battles), state.STATE_SIDE)
+    return cells.build_cells(state.with_region(state.character_state(sides)))
 
 
 BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     # ingest
-    "dedupe_battles": lambda f: f.battles.select("battle_id", "battle_at", "battle_type", "game_version", "player1_id", "player2_id", "winner", "stageid", "batch_no"),
+    "dedupe_battles": lambda f: f.first_battles.select("battle_id", "battle_at", "battle_type", "game_version", "player1_id", "player2_id", "winner", "stageid", "batch_no"),
     "battle_sides": lambda f: ingest.to_sides(f.battles).select("battle_id", "side", "battle_at", "battle_type", "game_version", "player_id", "character_id", "region_id", "dan_rank", "power", "rating_before", "rating_change", "rounds_won", "opp_player_id", "opp_character_id", "opp_dan_rank", "is_win"),
-    "insert_new_battles": lambda f: f.inserted().select("battle_id", "battle_at", "battle_type", "game_version", "winner"),
-    "affected_versions": lambda f: state.affected_versions(f.inserted()),
-    "insert_new_battles_all": lambda f: f.inserted_all().select("battle_id", "battle_at", "battle_type", "game_version", "winner"),
-    "affected_versions_all": lambda f: state.affected_versions(f.inserted_all()),
-    "player_name_history": lambda f: ingest.player_name_history(f.ranked_sides),
+    "insert_new_battles": _new_battles,
+    "affected_versions": _new_versions,
+    "player_name_history": lambda f: ingest.player_name_history(f.sides("player_id", "name", "battle_at")),
     "constraint_report": _constraints,
-    "battle_history": lambda f: ingest.battles_of(f.battles, f.some_players()),
-    "battle_history_all": lambda f: ingest.battles_of(f.battles, f.all_players()),
+    "battle_history": _history,
+    "battle_history_pages": lambda f: players.history_pages(_history(f)),
     "water_marks": lambda f: ingest.water_marks(f.battles),
     "backfill_pages": _pages,
     "page_coverage": lambda f: backfill.page_coverage(f.battles, _pages(f), PAGE_WIDTH),
     # state
     "upsert_players": _upsert_players,
     "upsert_character_stats": _upsert_stats,
-    "rebuild_character_stats": lambda f: f.stats,
+    "rebuild_character_stats": lambda f: state.rebuild_character_stats(f.battles),
     "replace_counts": lambda f: state.replace_counts(_old_stats(f), f.stats),
     "reconcile_character_stats": lambda f: state.reconcile_character_stats(_old_stats(f), f.battles),
-    "latest_rank": lambda f: state.latest_by(f.ranked_sides, ["player_id", "character_id"], "battle_at", "battle_id", ["dan_rank", "power"]),
+    "latest_rank": lambda f: state.latest_by(f.sides("player_id", "character_id", "battle_at", "battle_id", "dan_rank", "power"), ["player_id", "character_id"], "battle_at", "battle_id", ["dan_rank", "power"]),
     "stats_summary": lambda f: state.summary_counters(f.battles, f.players),
     # cells
     "stats_with_region": lambda f: f.stats_with_region,
     "main_character_by_version": lambda f: cells.main_character(cells.with_region(f.stats_with_region)),
-    "build_cells": lambda f: f.cells,
+    "build_cells": _built_cells,
     "cells_standard": lambda f: cells.cells_standard(f.stats_with_region),
     "cells_overall": lambda f: cells.cells_overall(f.stats_with_region),
     # rollups
@@ -196,8 +207,8 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     # players
     "main_character_overall": lambda f: players.main_character_overall(f.stats),
     "recent_character": lambda f: players.recent_character(f.stats),
-    "player_matchups": lambda f: players.player_matchups(f.ranked_sides),
-    "best_worst_matchups": lambda f: players.best_worst_matchups(players.player_matchups(f.ranked_sides)),
+    "player_matchups": lambda f: f.matchups,
+    "best_worst_matchups": lambda f: players.best_worst_matchups(f.matchups),
     "player_character_totals": lambda f: players.character_totals(f.stats),
     "season_ranks": lambda f: players.season_ranks(f.stats),
     "player_metadata": lambda f: players.player_metadata(f.players, f.stats),
@@ -207,11 +218,10 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     "leaderboard": lambda f: players.leaderboard(f.players, f.stats),
     "resolve_player_ids": _resolve,
     "player_profile": _profiles,
-    "player_profile_all": _all_profiles,
-    "player_profile_nested": _nested_profiles,
+    "player_profile_nested": lambda f: players.nested_profiles(f.players, f.stats, f.sides(*_MATCHUP_SIDE)),
     # scalars
-    "rank_tiers": lambda f: f.ranked_sides.select("dan_rank").distinct().select("dan_rank", scalars.tier(F.col("dan_rank")).alias("tier"), scalars.tier(F.col("dan_rank"), "beginner").alias("tier_or_beginner")),
-    "named_characters": lambda f: with_names(f.ranked_sides.groupBy("character_id").agg(F.count("*").alias("sides")), "character", "character_id", "name"),
+    "rank_tiers": lambda f: f.sides("dan_rank").distinct().select("dan_rank", scalars.tier(F.col("dan_rank")).alias("tier"), scalars.tier(F.col("dan_rank"), "beginner").alias("tier_or_beginner")),
+    "named_characters": lambda f: with_names(f.sides("character_id").groupBy("character_id").agg(F.count("*").alias("sides")), "character", "character_id", "name"),
     "format_ids": lambda f: f.players.select("player_id", scalars.strip_zeros(F.col("player_id")).alias("short_id"), scalars.format_id(F.col("polaris_id")).alias("formatted_id")),
     "battle_dates": lambda f: f.battles.select("battle_id", scalars.utc_date(F.col("battle_at")).alias("date"), scalars.utc_date(F.col("battle_at"), False).alias("minute")),
     "battle_type_names": _types,

@@ -1,82 +1,153 @@
-"""Micro-batch ingest, streaming dedupe, running statistics, refresh of touched cells.
-
-Battles are appended to a table partitioned by ``ingest_id``, one partition a micro-batch, written with
-dynamic partition overwrite: a batch that is delivered again replaces what it wrote. Battles are the
-single source of truth; state and cells are derived from them, so no write can count a battle twice.
+"""Micro-batch ingest with incremental state, streaming dedupe, running statistics, refresh of touched cells.
+
+A micro-batch appends what is new: battles, the state of players and characters that these alone give (a delta),
+counts of replays and the versions it touches. Each is a partition by ``ingest_id``, written with dynamic partition
+overwrite, so a batch that is delivered again replaces what it wrote. State merges are associative: the state is
+the last snapshot merged with the deltas after it, and ``compact`` folds these into a new snapshot. No battle is
+read again for it. Which versions wait for their cells, and until which batch these are fresh, is stored too, so
+neither is lost with the driver.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cells, ingest, state
 
+#: Seconds between two refreshes of cells.
+COOLDOWN = 120
+
 
 @dataclass
 class Tables:
-    """Folders of the stored battles, and of the cells."""
+    """Folders under ``root``: battles, deltas, snapshots, counts, touched, refreshes, cells."""
 
-    battles: str
-    cells: str
+    root: str
 
-    def read_battles(self, spark: SparkSession, schema=None) -> DataFrame | None:
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame | None:
         try:
-            return spark.read.parquet(self.battles)
+            return spark.read.parquet(self.path(name))
         except AnalysisException:  # nothing stored yet
             return None
 
+    def replace(self, df: DataFrame, name: str, key: str, value: int) -> DataFrame:
+        """Write ``df`` as the partition ``key=value`` and read it back."""
+        d = df.withColumn(key, F.lit(value).cast("long"))
+        d.write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
+        return df.sparkSession.read.schema(d.schema).parquet(self.path(name)).where(F.col(key) == value).drop(key)
 
-def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list[str]) -> list[int]:
-    """Store what is new in a batch; the versions that it touches. Running it again with the same id changes nothing."""
-    spark = batch.sparkSession
-    stored = tables.read_battles(spark)
-    fresh = ingest.dedupe_first(batch, ["battle_id"], order)
-    if stored is not None:
-        fresh = fresh.join(stored.where(F.col("ingest_id") != batch_id).select("battle_id"), "battle_id", "left_anti")
-    out = fresh.withColumn("ingest_id", F.lit(batch_id).cast("long"))
-    out.write.partitionBy("ingest_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(tables.battles)
-    now = spark.read.parquet(tables.battles).where(F.col("ingest_id") == batch_id)
-    return sorted(r[0] for r in state.affected_versions(now).collect())  # a few versions
+
+def total_order(batch: DataFrame) -> list[Column]:
+    """By time, then by content: the first of several rows of a battle is the same whatever order they arrive in."""
+    return [F.col("battle_at"), F.xxhash64(*batch.columns)]
 
 
-def refresh(spark: SparkSession, tables: Tables, versions: list[int] | None) -> None:
-    """Recompute the cells of some versions (or of all) from the stored battles, and replace only their partitions.
+def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list | None = None, horizon: int | None = None) -> None:
+    """Store what is new in a batch, its delta, counts and versions. Running it again with the same id changes nothing.
 
-    Players' regions come from all versions; statistics are rebuilt for the wanted ones alone.
+    Ids are looked up among all stored ones. Where a repeated battle is known to keep its time, ``horizon`` (seconds)
+    restricts that to stored battles so close to the times of the batch, and Parquet statistics skip the rest.
     """
-    battles = tables.read_battles(spark)
-    if battles is None:
-        return
-    people = state.players(state.player_state(ingest.to_sides(ingest.ranked(battles))))
-    wanted = battles if versions is None else ingest.for_versions(battles, versions)
-    stats = cells.stats_with_region(state.rebuild_character_stats(wanted), people)
-    cells.write_cells(cells.build_cells(stats), tables.cells)
+    spark = batch.sparkSession
+    stored = tables.read(spark, "battles")
+    fresh = ingest.dedupe_first(batch, ["battle_id"], order or total_order(batch))
+    if stored is not None:
+        old = stored.where(F.col("ingest_id") != batch_id)
+        if horizon is not None:
+            low, high = batch.agg(F.min("battle_at"), F.max("battle_at")).first()
+            old = old.where(F.col("battle_at").between(low - horizon, high + horizon)) if low is not None else old
+        fresh = fresh.join(old.select("battle_id"), "battle_id", "left_anti")
+    now = tables.replace(fresh, "battles", "ingest_id", batch_id)
+    tables.replace(state.character_state(ingest.to_sides(ingest.ranked(now), state.STATE_SIDE)), "deltas", "ingest_id", batch_id)
+    is_ranked = F.coalesce(F.col("battle_type") == 2, F.lit(False))
+    tables.replace(now.agg(F.count_if(is_ranked).alias("ranked"), F.count_if(~is_ranked).alias("unranked")), "counts", "ingest_id", batch_id)
+    tables.replace(state.affected_versions(now), "touched", "ingest_id", batch_id)
+
+
+def current_state(spark: SparkSession, tables: Tables) -> DataFrame | None:
+    """State of all stored battles: the newest snapshot merged with the deltas after it."""
+    deltas, snapshots = tables.read(spark, "deltas"), tables.read(spark, "snapshots")
+    if snapshots is None:
+        return None if deltas is None else state.merge_states(deltas.drop("ingest_id"))
+    upto = snapshots.agg(F.max("upto")).first()[0]
+    base = snapshots.where(F.col("upto") == upto).drop("upto")
+    return state.merge_states(base.unionByName(deltas.where(F.col("ingest_id") > upto).drop("ingest_id")))
+
+
+def compact(spark: SparkSession, tables: Tables) -> None:
+    """Fold the deltas into a new snapshot. Not while a batch is being written."""
+    deltas = tables.read(spark, "deltas")
+    if deltas is not None:
+        tables.replace(current_state(spark, tables), "snapshots", "upto", deltas.agg(F.max("ingest_id")).first()[0])
+
+
+def summary(spark: SparkSession, tables: Tables) -> DataFrame | None:
+    """One row: ranked and unranked replays, players."""
+    counts, now = tables.read(spark, "counts"), current_state(spark, tables)
+    if counts is None or now is None:
+        return None
+    total = counts.agg(F.sum("ranked").alias("total_ranked_replays"), F.sum("unranked").alias("total_unranked_replays"))
+    return total.join(now.agg(F.count_distinct("player_id").alias("total_players")), how="cross")  # one row each
+
+
+def _last_refresh(spark: SparkSession, tables: Tables) -> tuple[int, float]:
+    """Last batch whose versions have fresh cells, and when they were made."""
+    done = tables.read(spark, "refreshes")
+    upto, at = (None, None) if done is None else done.agg(F.max("upto"), F.max("at")).first()
+    return (-1 if upto is None else upto), (float("-inf") if at is None else at)
+
+
+def pending_versions(spark: SparkSession, tables: Tables) -> tuple[list[int], int]:
+    """Versions touched since the last refresh, and the last batch that touched any."""
+    touched, (upto, _) = tables.read(spark, "touched"), _last_refresh(spark, tables)
+    rows = [] if touched is None else touched.where(F.col("ingest_id") > upto).groupBy("game_version").agg(F.max("ingest_id").alias("last")).collect()  # a few versions
+    return sorted(r["game_version"] for r in rows), max((r["last"] for r in rows), default=upto)
+
+
+def refresh(spark: SparkSession, tables: Tables, now: float | None = None, cooldown: float = COOLDOWN) -> list[int]:
+    """Recompute the cells of the versions that wait for it, unless the last refresh is less than ``cooldown`` seconds ago; the versions.
+
+    A version stays pending until its cells are written: a job that dies in between does them again.
+    """
+    now = time.time() if now is None else now
+    versions, upto = pending_versions(spark, tables)
+    if not versions or now - _last_refresh(spark, tables)[1] < cooldown:
+        return []
+    refresh_versions(spark, tables, versions)
+    tables.replace(spark.range(1).select(F.lit(float(now)).alias("at")), "refreshes", "upto", upto)
+    return versions
+
 
+def refresh_versions(spark: SparkSession, tables: Tables, versions: list[int] | None) -> None:
+    """Recompute the cells of some versions, or of all, from the state; only their partitions are replaced. A player's region comes from all versions."""
+    now = current_state(spark, tables)
+    if now is not None:
+        stats = state.with_region(now)
+        cells.refresh_cells(stats, tables.path("cells"), versions)
 
-class Ingest:
-    """A stream into ``tables``; versions that a batch touches stay pending until the next refresh, none is lost to the cooldown."""
 
-    def __init__(self, spark: SparkSession, tables: Tables, order: list[str] | None = None):
-        self.spark, self.tables, self.order, self.pending = spark, tables, order or ["battle_at"], set()
+def start_ingest(stream: DataFrame, tables: Tables, checkpoint: str, order: list | None = None, horizon: int | None = None, **trigger) -> StreamingQuery:
+    """Ingest a stream of battles. ``trigger``: availableNow=True by default."""
 
-    def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        self.pending |= set(ingest_batch(batch, batch_id, self.tables, self.order))
+    def batch(df: DataFrame, batch_id: int) -> None:
+        ingest_batch(df, batch_id, tables, order, horizon)
 
-    def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """``trigger``: availableNow=True, or processingTime="2 minutes" as the cooldown between batches."""
-        return stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def refresh(self) -> list[int]:
-        versions = sorted(self.pending)
-        if versions:
-            refresh(self.spark, self.tables, versions)
-            self.pending -= set(versions)
-        return versions
+
+def start_refresh(spark: SparkSession, tables: Tables, every: str = "2 minutes") -> StreamingQuery:
+    """Refresh pending cells at the pace of ``every``, beside ``start_ingest``; what waits is in the tables, so it may be stopped and started at will."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, __: refresh(spark, tables, cooldown=0)).trigger(processingTime=every).start()
 
 
 def dedupe_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -87,17 +158,26 @@ def dedupe_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def running_stats(battles: DataFrame) -> DataFrame:
     """Running wins and losses of each (player, character, version); for output mode update or complete."""
-    sides = ingest.to_sides(ingest.ranked(battles))
+    sides = ingest.to_sides(ingest.ranked(battles), ["player_id", "character_id", "game_version", "is_win"])
     win = F.col("is_win").cast("long")
     return sides.groupBy("player_id", "character_id", "game_version").agg(F.sum(win).alias("wins"), F.sum(1 - win).alias("losses"))
 
 
 def live_active(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Last time that each user was seen; a reader filters on the last ten minutes. For output mode update or complete."""
+    """Last time that each user was seen, for output mode update or complete; ``active_now`` reads it."""
     return events.groupBy(user).agg(F.max(ts).alias("last_seen"))
 
 
+def active_now(seen: DataFrame, now: Column | None = None, seconds: int = 600) -> DataFrame:
+    """Users of what ``live_active`` has put out that were seen in the last ``seconds``, newest first."""
+    now = F.current_timestamp() if now is None else now
+    last = seen.groupBy(*(c for c in seen.columns if c != "last_seen")).agg(F.max("last_seen").alias("last_seen"))  # update mode repeats users
+    at = F.col("last_seen").cast("timestamp")
+    return last.where((at > now - F.make_dt_interval(secs=F.lit(seconds))) & (at <= now)).orderBy(F.desc("last_seen"), *(c for c in last.columns if c != "last_seen"))
+
+
 def active_windows(events: DataFrame, ts: str = "ts", width: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Events and users in each window of event time, final once the watermark has passed."""
+    """Events and approximate number of users in each window of event time, final once the watermark has passed."""
     d = events.withColumn("event_ts", F.col(ts).cast("timestamp")).withWatermark("event_ts", delay)
-    return d.groupBy(F.window("event_ts", width).alias("w")).agg(F.count("*").alias("events"), F.approx_count_distinct("user_id").alias("users")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "users")
+    d = d.groupBy(F.window("event_ts", width).alias("w")).agg(F.count("*").alias("events"), F.approx_count_distinct("user_id").alias("users_approx"))
+    return d.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "users_approx")

@@ -1,5 +1,6 @@
 """Hand-made rows for the decisions that the operators take."""
 
+import json
 import random
 
 import pytest
@@ -128,7 +129,73 @@ def test_pages(spark, make):
     assert rows(pages, "page_end") == [(720,), (1360,), (2000,)]
     b = make([battle("a", 100), battle("b", 2000), battle("c", 1330), battle("d", 1300)])
     assert rows(backfill.assign_pages(b, pages), "battle_id", "page_no") == [("a", 2), ("b", 0), ("c", 0), ("c", 1), ("d", 1)]
-    assert backfill.resume_plan(marks, 5000, 2100).first()["mode"] == "preloaded" if 100 <= 2100 - 5000 else True
+    assert rows(backfill.in_page(b, 1360), "battle_id") == [("c",), ("d",)]  # from 660 to 1360, its end included
+
+
+def test_resume(make):
+    """Marks are 100 and 2000: before the horizon, or after it."""
+    marks = ingest.water_marks(make([battle("a", 100), battle("b", 2000)]))
+    plan = lambda m, horizon: tuple(backfill.resume_plan(m, horizon, 2100).first())
+    assert plan(marks, 1000) == ("preloaded", 2000, None, None)
+    assert plan(marks, 2000) == ("preloaded", 2000, None, None)  # the oldest is the limit itself
+    assert plan(marks, 2050) == ("partial", 2000, 100, 50)
+    assert plan(ingest.water_marks(make([])), 1000) == ("empty", 2100, 2100, 1100)
+
+
+def test_filters(make, spark):
+    b = make([battle("a", 1), battle("b", 1, kind=1), battle("c", 1, kind=None)])
+    assert rows(ingest.ranked(b), "battle_id") == [("a",)] and rows(ingest.unranked(b), "battle_id") == [("b",), ("c",)]
+    ids = spark.createDataFrame([("ABCDEFGHIJKL",), ("AB-D",), (None,)], "i string")
+    good, bad = ingest.known_player_ids(ids, "i")
+    assert [r.i for r in good.collect()] == ["ABCDEFGHIJKL"] and {r.i for r in bad.collect()} == {"AB-D", None}
+    same = spark.createDataFrame([("7", "7".zfill(18)), ("007", "7"), ("7", "8")], "a string, b string").select(scalars.same_id(F.col("a"), F.col("b")).alias("s"))
+    assert [r.s for r in same.collect()] == [True, True, False]
+
+
+def test_sides_of_some_columns(make):
+    b = make([battle("a", 5)])
+    whole, part = ingest.to_sides(b), ingest.to_sides(b, ["battle_id", "player_id", "is_win"])
+    assert part.columns == ["battle_id", "player_id", "is_win"]
+    assert rows(part, "player_id", "is_win") == rows(whole, "player_id", "is_win")
+
+
+def test_state_in_one_pass(make):
+    """Statistics, players and regions from the combined state are those of the separate ones."""
+    all_rows = [battle(str(n), n % 7, winner=n % 3, p1=str(n % 4), p2=str(4 + n % 3), region1=n % 5 or None, name1=f"n{n}", c1=n % 3, gv=20000 + n % 2) for n in range(40)]
+    sides = ingest.to_sides(make(all_rows))
+    both = state.merge_states(state.character_state(ingest.to_sides(make(all_rows[:11]))).unionByName(state.character_state(ingest.to_sides(make(all_rows[11:])))))
+    cols = ("player_id", "character_id", "game_version", "dan_rank", "latest_battle", "wins", "losses")
+    stats, people = state.character_stats(state.stats_delta(sides)), state.players(state.player_state(sides))
+    assert rows(state.character_stats(both), *cols) == rows(stats, *cols)
+    own = ("player_id", "name", "region_id", "polaris_id", "power", "latest_battle")
+    assert [tuple(map(str, r)) for r in rows(state.players(state.merge_players(both)), *own)] == [tuple(map(str, r)) for r in rows(people, *own)]
+    more = (*cols, "region_id", "total_plays")
+    got, want = (sorted(tuple(map(str, (r[c] for c in more))) for r in d.collect()) for d in (state.with_region(both), cells.stats_with_region(stats, people)))
+    assert got == want
+
+
+def test_with_stats(spark):
+    p = spark.createDataFrame([("1", "a"), ("2", "b")], "player_id string, name string")
+    s = spark.createDataFrame([("1", "5", 20001, 7, 9, 2, 1), ("1", "4", 20000, 6, 8, 0, 1)], "player_id string, character_id string, game_version int, dan_rank int, latest_battle long, wins long, losses long")
+    got = {r.player_id: [(x.game_version, x.character_id, x.wins) for x in r.character_stats] for r in players.with_stats(p, s).collect()}
+    assert got == {"1": [(20000, "4", 0), (20001, "5", 2)], "2": []}
+
+
+def test_nested_json(spark):
+    d = spark.createDataFrame([(1, {"b": 2.5}, [3])], "a int, m map<string,double>, l array<int>")
+    assert [json.loads(r.value) for r in rollups.to_nested_json(d).collect()] == [{"a": 1, "m": {"b": 2.5}, "l": [3]}]
+
+
+def test_search_order_and_limit(spark):
+    """Equal first, then those that start with it, then shorter names, names and ids in order; no more than the limit."""
+    names = ["zzkazzz", "Kaz", "kaz", "kazuya", "KAZAMA", "akaz", "xkaz", *(f"bkaz{n:02d}" for n in range(30))]
+    p = spark.createDataFrame([(f"{n:02d}", f"P{n}", x, None, None, 5, 9) for n, x in enumerate(names)], "player_id string, polaris_id string, name string, region_id int, language string, latest_battle long, power long")
+    found = players.rank_search(p.where(players.search_predicate("kaz", F.col("name"), F.col("polaris_id"))), "kaz")
+    low = lambda x: x.lower()
+    key = lambda x: (0 if low(x) == "kaz" else 1 if low(x).startswith("kaz") else 20, len(x), x)
+    assert [r.name for r in found.collect()] == sorted(names, key=key)[:20] and len(names) > 20
+    s = spark.createDataFrame([], "player_id string, character_id string, game_version int, dan_rank int, latest_battle long, wins long, losses long")
+    assert {r.name for r in players.player_search(p, s, "kaz").collect()} == set(sorted(names, key=key)[:20])
 
 
 def test_empty(make):
