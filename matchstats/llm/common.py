@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, new_path  # noqa: F401  operators take them from here
+
 #: White space of the contracts, as a Java and RE2 class: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -27,26 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
     """Equi-join that broadcasts ``right`` only if it is known to be small; otherwise a shuffled join, which AQE splits where a key is hot.
 
@@ -64,6 +45,12 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def first_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of one row of each key: the first by the row's JSON, so the same one however rows arrive."""
+    row = F.struct(*(df[c].alias(c) for c in columns))
+    return df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("first_row")).select("first_row.*")
+
+
 _SHIPPED: set[str] = set()
 
 

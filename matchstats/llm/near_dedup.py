@@ -37,18 +37,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NOT_SPACE, fresh, joined, materialise, shingle_hashes, python_workers, texts_of, word_hashes
+from .common import BROADCAST_ROWS, NOT_SPACE, first_rows, fresh, joined, materialise, shingle_hashes, python_workers, texts_of, word_hashes
 from .components import components
 
 #: Sketch size, and the odds against a pair at the threshold sharing fewer than ``least_shared`` values.
 K, MISSED = 48, 1e-6
-#: Lists with more members than this are settled in step 5, with so many rounds of hubs.
-LONG_LIST, ROUNDS = 64, 2
+#: Lists with more members than this are settled in step 5.
+LONG_LIST = 64
+#: Shingles of all majority sets that may be broadcast (8 bytes each).
+MAJORITY_SHINGLES = 1_000_000
 _SIG = ["s0", "s1", "s2", "s3"]
 #: Parity signature of the elements that a member may share with another component.
 _PAR = [f"p{i}" for i in range(16)]
@@ -225,67 +228,73 @@ def _open_lists(lists: DataFrame, known: DataFrame) -> DataFrame:
     return materialise(lists.join(stats, "v").withColumn("open", F.col("low") < F.col("high")).drop("high"), "open-lists")
 
 
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the component that a written table (component, label) gives in its place, its own if it gives none."""
+    return joined(rows, labels, ["component"], "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+
+
 class _Neighbourhoods:
-    """Step 5: the links that the members of long lists have beyond those in ``found``.
+    """Step 5: the links that the members of long lists have beyond known ones.
 
-    ``long``: rows (v, node, component, low) of the long lists, ``low`` the smallest component of the list.
+    ``long``: rows (v, node, component, low) of the long lists, ``low`` the smallest component of the list. Components of one
+    label are connected, never the other way round: labels save pairs, the components of all links are found at the end.
     """
 
-    def __init__(self, s: _Search, nodes: DataFrame, long: DataFrame, found: DataFrame):
-        self.s, self.found, self.known = s, found, components(found)
-        self.unit, self.free = 100 + s.percent, 100 - s.percent
+    def __init__(self, s: _Search, nodes: DataFrame, long: DataFrame):
+        self.s, self.unit, self.free = s, 100 + s.percent, 100 - s.percent
         spread = components(materialise(long.select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "list-links"))
         own = materialise(long.select("node", "component").distinct(), "long-nodes")
-        place = spread.select(F.col("node").alias("component"), F.col("component").alias("place"))
-        own = materialise(own.join(place, "component").select("node", "place"), "long-places")
-        self.differing(own.join(s.sets(own.select("node"), nodes), "node"))
+        own = joined(own, materialise(spread.select(F.col("node").alias("component"), F.col("component").alias("place")), "places"), ["component"], "inner")
+        own = materialise(own, "long-places")
+        sets = joined(s.sets(own.select("node"), nodes), own, ["node"], "inner")
+        self.parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.differing(materialise(sets, "place-sets"))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows dealt out evenly before their arrays are exploded: the members of a place, or its long ones, may lie together."""
+        return rows.repartition(self.parts)
 
     def differing(self, sets: DataFrame) -> None:
-        """Written table ``self.members``: node, place, n, delta (difference from the majority set), excess."""
-        sets = materialise(sets, "place-sets")
-        sizes = sets.groupBy("place").agg(F.count("*").alias("members"))
-        often = sets.select("place", F.explode("hashes").alias("u")).groupBy("place", "u").agg(F.count("*").alias("df"))
-        # at most twice the mean size of a set
-        major = often.join(sizes, "place").where(2 * F.col("df") > F.col("members")).groupBy("place").agg(F.collect_list("u").alias("major"))
-        major = materialise(major, "majority-sets")
+        """Written table ``self.members``: node, place, component, n, delta (difference from the majority set), excess."""
+        sizes = materialise(sets.groupBy("place").agg(F.count("*").alias("members")), "place-sizes")
+        often = self.dealt(sets.select("place", "hashes")).select("place", F.explode("hashes").alias("u")).groupBy("place", "u").agg(F.count("*").alias("df")).where("df > 1")
+        often = materialise(joined(often, sizes, ["place"], "inner").where(2 * F.col("df") > F.col("members")).select("place", "u"), "majority-shingles")
+        # a place's array has at most twice the mean size of its sets
+        major = materialise(often.groupBy("place").agg(F.collect_list("u").alias("major")), "majority-sets")
+        major = F.broadcast(major) if often.count() <= MAJORITY_SHINGLES else major
         d = sets.join(major, "place", "left").withColumn("major", F.coalesce("major", F.array().cast("array<long>")))
         d = d.withColumn("delta", F.concat(F.array_except("hashes", "major"), F.array_except("major", "hashes"))).withColumn("n", F.size("hashes"))
         d = d.withColumn("excess", (self.unit * F.size("delta") - self.free * F.col("n")).cast("long"))
-        self.members = materialise(d.select("node", "place", "n", "delta", "excess"), "place-members")
-
-    def learn(self, links: DataFrame) -> bool:
-        """Add links; whether there were any."""
-        new = materialise(links, "place-links")
-        if new.isEmpty():
-            return False
-        self.found = materialise(self.found.unionByName(new), "all-links")
-        self.known = components(self.found)
-        return True
-
-    def centre_links(self) -> DataFrame:
-        """The member of least excess of each place with those that it is linked with, whatever they share."""
-        d = self.members.select("node", "place", "excess")
-        least = materialise(d.groupBy("place").agg(F.min(F.struct("excess", "node")).alias("c")), "centres")
+        self.members = materialise(d.select("node", "place", "component", "n", "delta", "excess"), "place-members")
+
+    def centre_links(self) -> tuple[DataFrame, DataFrame]:
+        """The member of least excess of each place with those that it is linked with, whatever they share; and the labels of their components, the centre's."""
+        d = self.members.select("node", "place", "component", "excess")
+        least = materialise(d.groupBy("place").agg(F.min(F.struct("excess", "node", F.col("component").alias("label"))).alias("c")), "centres")
         d = joined(d, least, ["place"], "inner").where((F.col("excess") + F.col("c.excess") <= 0) & (F.col("node") != F.col("c.node")))
-        return d.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+        d = materialise(d.select(F.col("node").alias("a"), F.col("c.node").alias("b"), "component", "c.label"), "centre-links")
+        return d.select("a", "b"), materialise(d.groupBy("component").agg(F.min("label").alias("label")), "centre-labels")
 
-    def entries(self) -> DataFrame:
+    def entries(self, labels: DataFrame) -> DataFrame:
         """Written table of the lists of elements: place, u, node, component, n, excess, alone (elements that no other component has), signature.
 
         A member has a row for each element of its prefix: of the elements of D that two components have, the rarest, so many that it shares one with every partner.
         """
-        d = materialise(_placed(self.members.select("node", "place", "n", "excess", F.size("delta").alias("d")), self.known), "placed-members")
-        values = self.members.select("node", "place", F.explode("delta").alias("u")).join(d.select("node", "component"), "node")
-        shared = values.groupBy("place", "u").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-        shared = materialise(shared.where("low < high").select("place", "u", "df"), "shared-elements")
-        own = values.join(shared, ["place", "u"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("us"))
+        d = materialise(_relabelled(self.members, labels), "placed-members")
         # the least excess of a partner: of the other components of the place
-        least = d.groupBy("place", "component").agg(F.min("excess").alias("e")).groupBy("place").agg(F.min(F.struct("e", "component")).alias("first"), F.count("*").alias("components"))
-        least = materialise(least.where("components > 1").select("place", "first"), "least-excess")
-        other = d.join(least, "place").where(F.col("component") != F.col("first.component")).groupBy("place").agg(F.min("excess").alias("second"))
-        least = materialise(least.join(other, "place"), "least-two")
-        d = joined(d, least, ["place"], "inner").join(own, "node")
-        partner = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.e"))
+        each = materialise(d.groupBy("place", "component").agg(F.min("excess").alias("e")), "component-excess")
+        first = each.groupBy("place").agg(F.min(F.struct("e", "component")).alias("first"), F.count("*").alias("components")).where("components > 1")
+        first = materialise(first.select("place", "first.*").withColumnsRenamed({"e": "first", "component": "holder"}), "first-excess")
+        second = joined(each, first, ["place"], "inner").where("component <> holder").groupBy("place", "first", "holder").agg(F.min("e").alias("second"))
+        second = materialise(second, "second-excess")
+        d = joined(d, second, ["place"], "inner")
+        values = self.dealt(d.select("node", "place", "component", "delta")).select("node", "place", "component", F.explode("delta").alias("u"))
+        values = materialise(values, "differing-shingles")
+        shared = values.groupBy("place", "u").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
+        shared = shared.where("low < high").select("place", "u", "df")
+        own = values.select("node", "place", "u").join(shared, ["place", "u"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("us"))
+        d = d.withColumn("d", F.size("delta")).drop("delta").join(own, "node")
+        partner = F.when(F.col("component") == F.col("holder"), F.col("second")).otherwise(F.col("first"))
         by_excess = F.ceil((F.col("excess") + partner) / (2 * self.unit) - 1e-9)
         by_size = F.ceil(F.col("d") - F.col("n") * self.free / self.s.percent - 1e-9)
         prefix = F.size("us") - F.greatest(F.lit(1), by_excess, by_size) + 1
@@ -303,37 +312,45 @@ class _Neighbourhoods:
 
     def hub_pairs(self, entries: DataFrame) -> DataFrame:
         """Each entry with its list's member of least excess."""
-        fields = ["node", "component", "n", "alone", *_PAR]
-        hubs = entries.groupBy("place", "u").agg(F.min_by(F.struct(*fields), F.struct("excess", "node")).alias("member"))
+        hubs = entries.groupBy("place", "u").agg(F.min_by(F.struct("node", "component", "n", "alone", *_PAR), F.struct("excess", "node")).alias("member"))
         hubs = materialise(hubs.select("place", "u", "member.*"), "element-hubs")
         at = (F.col("x.place") == F.col("h.place")) & (F.col("x.u") == F.col("h.u")) & self.near("x", "h")
-        return entries.alias("x").join(hubs.alias("h"), at).select(F.col("x.node").alias("a"), F.col("h.node").alias("b"))
+        return entries.alias("x").join(hubs.alias("h"), at).select(*_pair("x", "h"))
 
     def rest_pairs(self, entries: DataFrame) -> DataFrame:
         """Entries outside the largest component of their place with all of their list."""
-        most = entries.select("place", "component", "node").distinct().groupBy("place", "component").agg(F.count("*").alias("c"))
-        most = materialise(most.groupBy("place").agg(F.max_by("component", "c").alias("largest")), "largest-components")
-        d = materialise(joined(entries, most, ["place"], "inner"), "sided-elements")
+        most = entries.groupBy("place", "component").agg(F.count("*").alias("c")).groupBy("place").agg(F.max_by("component", "c").alias("largest"))
+        d = joined(entries, materialise(most, "largest-components"), ["place"], "inner")
         few = d.where(F.col("component") != F.col("largest"))
         once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
         at = (F.col("x.place") == F.col("y.place")) & (F.col("x.u") == F.col("y.u")) & once & self.near("x", "y")
-        return few.alias("x").join(d.alias("y"), at).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        return few.alias("x").join(d.alias("y"), at).select(*_pair("x", "y"))
 
     def exact(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold, by their whole differences."""
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "place-pairs")
+        """Written table of the pairs that reach the threshold, by their whole differences."""
+        pairs = materialise(pairs.distinct(), "place-pairs")
         side = lambda c: self.members.select(F.col("node").alias(c), F.col("delta").alias(f"d{c}"), F.col("excess").alias(f"e{c}"))
         d = pairs.join(side("a"), "a").join(side("b"), "b")
-        return d.where(F.col("ea") + F.col("eb") <= 2 * self.unit * F.size(F.array_intersect("da", "db"))).select("a", "b")
+        return materialise(d.where(F.col("ea") + F.col("eb") <= 2 * self.unit * F.size(F.array_intersect("da", "db"))).select(*pairs.columns), "place-links")
 
     def links(self) -> DataFrame:
-        """All links found: those given and those of the neighbourhoods."""
-        self.learn(self.centre_links())
-        for _ in range(ROUNDS):
-            if not self.learn(self.exact(self.hub_pairs(self.entries()))):
-                break
-        self.learn(self.exact(self.rest_pairs(self.entries())))
-        return self.found
+        """The links (a, b) that are found."""
+        found, labels = self.centre_links()
+        entries = self.entries(labels)
+        linked = self.exact(self.hub_pairs(entries))
+        found = found.unionByName(linked.select("a", "b"))
+        # a component takes the least label beside it
+        both = linked.select(F.col("ca").alias("component"), F.col("cb").alias("label")).unionByName(linked.select(F.col("cb").alias("component"), F.col("ca").alias("label")))
+        labels = materialise(both.groupBy("component").agg(F.min("label").alias("label")).select("component", F.least("label", "component").alias("label")), "hub-labels")
+        linked = self.exact(self.rest_pairs(materialise(_relabelled(entries, labels), "labelled-entries")))
+        return found.unionByName(linked.select("a", "b"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    """a, b, ca, cb: the nodes of a pair, the smaller first, and their components."""
+    swap = F.col(f"{x}.node") > F.col(f"{y}.node")
+    pick = lambda c, p, q: F.when(swap, F.col(f"{q}.{c}")).otherwise(F.col(f"{p}.{c}"))
+    return [pick("node", x, y).alias("a"), pick("node", y, x).alias("b"), pick("component", x, y).alias("ca"), pick("component", y, x).alias("cb")]
 
 
 def _parities(batches: Iterator) -> Iterator:
@@ -363,12 +380,11 @@ def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> D
     lists = _open_lists(lists, known).where("open")
     new = materialise(s.links(_cross_pairs(s, lists.where(F.col("size").between(3, LONG_LIST))), nodes), "cross-links")
     long = lists.where(F.col("size") > LONG_LIST)
-    if not new.isEmpty():
-        found = materialise(found.unionByName(new), "all-links")
-        known = components(found)
+    more = [new]
     if not long.isEmpty():
-        found = _Neighbourhoods(s, nodes, long, found).links()
-        known = components(found)
+        more.append(materialise(_Neighbourhoods(s, nodes, long).links(), "long-links"))
+    if not all(x.isEmpty() for x in more):
+        known = components(reduce(DataFrame.unionByName, more, found))
     first = nodes.select("node", "id", "th").join(known, "node").groupBy("component").agg(F.min(_place("th")).alias("first"))
     first = materialise(first.select("component", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th")), "group-firsts")
     linked = materialise(joined(known, first, ["component"], "inner").select("node", "first_id", "first_th"), "linked-nodes")
@@ -394,7 +410,7 @@ def op8(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: one row of each group.
 
-    Rows go by (doc_id, text). Where repeated rows of one doc_id and text stay together, one of them is kept, unless they are blank.
+    Rows go by (doc_id, text). Where repeated rows of one doc_id and text stay together, the first of them by other columns is kept, unless they are blank.
     """
     verdict = materialise(clusters(docs).where("n > 0").select("id", "th", "kept"), "near-verdict")
     gone = materialise(verdict.where(~F.col("kept")).select("id", "th").distinct(), "near-gone")
@@ -405,5 +421,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     d = d.join(drop, d[b].eqNullSafe(drop["id"]) & (d[a] == drop["th"]), "left_anti")
     if not twice.isEmpty():
         worded = F.coalesce(d["text"].rlike(NOT_SPACE), F.lit(False))
-        d = d.where(worded).dropDuplicates([a, b]).unionByName(d.where(~worded))
+        return first_rows(d.where(worded), [a, b], docs.columns).unionByName(d.where(~worded).select(*docs.columns))
     return d.select(*docs.columns)
