@@ -1,15 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the lower-cased UTF-8 of a text word by word (a space and the bytes up to the next
-white space, at most ``SPAN`` at a time) in both directions, and gives a distribution over languages
-at every byte position; a document's distribution is the mean over all its positions. It is trained
-in numpy by backpropagation through time: every position of a training word has the language of its
-document as its label, and languages weigh the same.
+The network reads the lower-cased UTF-8 of a text in both directions, white space included, and gives a distribution
+over languages at every byte position; a document's distribution is the mean over its positions that are not white
+space. A text is read in windows: each labels ``CORE`` bytes, and begins and ends ``CONTEXT`` bytes before and after
+them, so every position is labelled once, with what stands on both sides of it. It is trained in numpy by
+backpropagation through time over the same windows: every position has the language of its document as its label,
+and languages weigh the same.
 
-Training words come from a hash sample of the labelled documents, ``TRAIN_DOCS`` in expectation and
-``TRAIN_WORDS`` words of each; the bound is the same at every input size. Prediction is one pass over
-the rows of the whole table without a shuffle: a batch's distinct words go through the network once,
-frequent words are remembered by their 64-bit hash, and each document adds up what its words have.
+Training texts come from a hash sample of the labelled documents, ``TRAIN_DOCS`` of each language in expectation (all
+of a language with fewer), and are learnt from as a whole; the bound is the same at every input size. Prediction is
+one pass over the rows of the whole table without a shuffle.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; without any labelled row every
 text is ``und``; repeated rows are predicted each by itself; a text of any length is taken whole; an
@@ -24,16 +24,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, PIECE_BYTES, _powers, hash_sample, held_out, mixed, python_workers, word_spans
+from .common import _IS_SPACE, PIECE_BYTES, held_out, joined, materialise, python_workers
 
-SPAN = 32
-TRAIN_DOCS, TRAIN_WORDS, HIDDEN, EPOCHS, BATCH = 2000, 40, 20, 2, 256
-#: Words that a worker remembers at most.
-MEMO_WORDS = 400_000
+CORE, CONTEXT, STEP = 224, 16, 32
+TRAIN_DOCS, HIDDEN, EPOCHS, BATCH = 100, 8, 4, 64
+#: Windows that go through the network together, in prediction.
+WINDOWS = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """Of a fresh array, in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Direction:
@@ -95,27 +100,27 @@ class ByteGRU:
         self.out_bias = np.zeros(len(languages), dtype=np.float32)
 
     def probabilities(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """(steps, words, languages) for bytes (steps, words)."""
+        """(steps, windows, languages) for bytes (steps, windows)."""
         kept = ([], []) if keep is not None else (None, None)
         states = np.concatenate([self.ahead.forward(x, kept[0]), self.behind.forward(x[::-1], kept[1])[::-1]], axis=2)
-        logits = states @ self.out + self.out_bias
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
+        p = states @ self.out + self.out_bias
+        p -= p.max(axis=2, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=2, keepdims=True)
         if keep is not None:
             keep |= {"states": states, "kept": kept}
         return p
 
     def gradients(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, list[tuple[object, str, np.ndarray]]]:
-        """Weighted cross-entropy over all positions and its gradients by backpropagation through time."""
+        """Cross-entropy weighted by position (steps, windows) and its gradients by backpropagation through time."""
         keep: dict = {}
         p = self.probabilities(x, keep)
-        words = np.arange(x.shape[1])
-        scale = weight / (weight.sum() * len(x))
-        loss = -float((np.log(p[:, words, label] + 1e-12) * scale).sum())
+        windows = np.arange(x.shape[1])
+        scale = weight / weight.sum()
+        loss = -float((np.log(p[:, windows, label] + 1e-12) * scale).sum())
         dlogits = p.copy()
-        dlogits[:, words, label] -= 1
-        dlogits *= scale[None, :, None]
+        dlogits[:, windows, label] -= 1
+        dlogits *= scale[:, :, None]
         states, n = keep["states"], self.ahead.size
         dstates = dlogits @ self.out.T
         found = [(self, "out", np.einsum("tbh,tbc->hc", states, dlogits)), (self, "out_bias", dlogits.sum(axis=(0, 1)))]
@@ -123,26 +128,24 @@ class ByteGRU:
             found += [(layer, k, g) for k, g in layer.backward(data, kept, d).items()]
         return loss, found
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam over batches of words of one length."""
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.02, seed: int = 11) -> None:
+        """Adam over batches of windows of whole texts (lower-cased UTF-8)."""
         rng = np.random.default_rng(seed)
-        count = np.bincount(labels, minlength=len(self.languages))
-        weight = (len(labels) / np.maximum(count, 1))[labels].astype(np.float32)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
+        data, doc, begin, size = _windows(texts)
+        label = labels[doc]
+        count = np.bincount(label, weights=size, minlength=len(self.languages))
+        weight = (size.sum() / np.maximum(count, 1)).astype(np.float32)
         moments: dict = {}
-        step, total = 0, epochs * sum(-(-len(v) // BATCH) for v in by_length.values())
+        step, total = 0, epochs * sum(1 for _ in _passes(data, begin, size, BATCH))
         for _ in range(epochs):
-            batches = []
-            for own in by_length.values():
-                own = rng.permutation(own)
-                batches += [own[k : k + BATCH] for k in range(0, len(own), BATCH)]
+            mix = rng.permutation(len(begin))
+            batches = [(mix[own], x, inside) for own, x, inside in _passes(data, begin[mix], size[mix], BATCH)]
             for k in rng.permutation(len(batches)):
-                own = batches[k]
-                x = np.frombuffer(b"".join(words[i] for i in own), dtype=np.uint8).reshape(len(own), -1).T
-                _, found = self.gradients(x, labels[own], weight[own])
+                own, x, inside = batches[k]
                 step += 1
+                if not inside.any():
+                    continue
+                _, found = self.gradients(x, label[own], inside * weight[label[own]])
                 now = rate * (1 - 0.9 * step / total)
                 for owner, name, g in found:
                     m = moments.setdefault((id(owner), name), [np.zeros_like(g), np.zeros_like(g)])
@@ -153,120 +156,79 @@ class ByteGRU:
 
     def position_labels(self, text: str) -> list[tuple[int, str]]:
         """Byte offset in the lower-cased UTF-8 and language of every position of a text, white space left out."""
-        data, out = np.frombuffer(text.lower().encode(), dtype=np.uint8), []
-        for a, b in zip(*_cut(*word_spans(data)), strict=True):
-            x = np.concatenate([[32], data[a:b]]).astype(np.uint8)[:, None]
-            out += [(a + k, self.languages[c]) for k, c in enumerate(self.probabilities(x)[1:, 0].argmax(axis=1))]
-        return out
-
-
-def _cut(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of SPAN bytes at most."""
-    if not len(starts):
-        return starts, ends
-    parts = -(-(ends - starts) // SPAN)
-    of = np.repeat(np.arange(len(starts)), parts)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    a = starts[of] + k * SPAN
-    return a, np.minimum(a + SPAN, ends[of])
-
-
-class Scorer:
-    """Sums of position distributions of texts, with a memo of words."""
-
-    def __init__(self, model: ByteGRU):
-        self.model, self.keys = model, np.zeros(0, dtype=np.uint64)
-        self.sums = np.zeros((0, len(model.languages)), dtype=np.float32)
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
-        length, sums = ends - starts, np.zeros((len(keys), len(self.model.languages)), dtype=np.float32)
-        for n in np.unique(length):
-            of = np.flatnonzero(length == n)
-            for k in range(0, len(of), 4096):
-                own = of[k : k + 4096]
-                x = np.full((n + 1, len(own)), 32, dtype=np.uint8)
-                x[1:] = data[starts[own] + np.arange(n)[:, None]]
-                sums[own] = self.model.probabilities(x)[1:].sum(axis=0)
-        if len(self.keys) + len(keys) > MEMO_WORDS:
-            self.keys, self.sums = self.keys[:0], self.sums[:0]
-        keys, sums = np.concatenate([self.keys, keys]), np.concatenate([self.sums, sums])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.sums = keys[order], sums[order]
-
-    def _piece(self, data: np.ndarray, doc_ends: np.ndarray, total: np.ndarray, positions: np.ndarray) -> None:
-        starts, ends = _cut(*word_spans(data))
-        if not len(starts):
-            return
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        keys = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, own)
-        new = np.ones(len(own), dtype=bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != own[inside]
-        if new.any():
-            need = np.arange(len(own)) if len(self.keys) + new.sum() > MEMO_WORDS else np.flatnonzero(new)  # the memo starts afresh when full
-            self._learn(data, starts[first[need]], ends[first[need]], own[need])
-            at = np.searchsorted(self.keys, own)
-        doc = np.searchsorted(doc_ends, starts, side="right")
-        for c in range(total.shape[1]):
-            total[:, c] += np.bincount(doc, weights=self.sums[at[back], c], minlength=len(total))
-        positions += np.bincount(doc, weights=ends - starts, minlength=len(total))
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """Mean distribution over the positions of each text; zeros without a position."""
-        total, positions = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts))
-        k = 0
-        while k < len(texts):
-            n, size = k, 0
-            while n < len(texts) and (size == 0 or size + len(texts[n]) < PIECE_BYTES):
-                size += len(texts[n]) + 1
-                n += 1
-            group = texts[k:n]
-            if n == k + 1:  # perhaps a very long text: a piece at a time
-                data, at = np.frombuffer(group[0], dtype=np.uint8), 0
-                while at < len(data):
-                    end = min(at + PIECE_BYTES, len(data))
-                    space = np.flatnonzero(data[at:end] == 32) if end < len(data) else ()
-                    end = at + int(space[-1]) + 1 if len(space) else end
-                    self._piece(data[at:end], np.array([end - at]), total[k:n], positions[k:n])
-                    at = end
-            else:
-                data = np.frombuffer(b" ".join(group), dtype=np.uint8)
-                self._piece(data, np.cumsum([len(t) + 1 for t in group]), total[k:n], positions[k:n])
-            k = n
-        return total / np.maximum(positions, 1)[:, None]
-
-
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS, seed: int = 5) -> ByteGRU | None:
-    """A network trained on a bounded sample of the labelled rows outside the held-out fold; None without any."""
-    python_workers(docs.sparkSession)
-    labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = hash_sample(labelled, F.col("doc_id"), train_docs, labelled.select("doc_id").count(), seed)
-
-    def words(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
-                a, b = _cut(*word_spans(data))
-                pick = np.unique(np.linspace(0, len(a) - 1, min(train_words, len(a))).astype(int)) if len(a) else ()
-                out.append([b" " + data[a[i] : b[i]].tobytes() for i in pick])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary()))], names=["lang", "words"])
-
-    rows = sample.select("lang", "text").mapInArrow(words, "lang string, words array<binary>").collect()
-    languages = sorted({r["lang"] for r in rows})
+        data, _, begin, size = _windows([text.lower().encode()])
+        out = []
+        for own, x, inside in _passes(data, begin, size, WINDOWS):
+            best = self.probabilities(x).argmax(axis=2)
+            step, window = np.nonzero(inside)
+            at = begin[own][window] + step - CONTEXT - _GAP
+            out += zip(at.tolist(), (self.languages[c] for c in best[step, window]), strict=True)
+        return sorted(out)
+
+
+#: White space before, between and after texts: no window sees two.
+_GAP = CONTEXT + STEP
+
+
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and of each window its text, where its core begins in them, and the core's size."""
+    data = np.frombuffer(b" " * _GAP + b"".join(t + b" " * _GAP for t in texts), dtype=np.uint8)
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    at = _GAP + np.cumsum(length + _GAP) - (length + _GAP)
+    parts = -(-length // CORE)
+    doc = np.repeat(np.arange(len(texts)), parts)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return data, doc, at[doc] + k * CORE, np.minimum(CORE, length[doc] - k * CORE)
+
+
+def _passes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of one length at a time: which, their bytes (steps, windows), and which of these they label."""
+    steps = 2 * CONTEXT + -(-size // STEP) * STEP
+    for n in np.unique(steps):
+        of = np.flatnonzero(steps == n)
+        t = np.arange(n)[:, None]
+        for k in range(0, len(of), most):
+            own = of[k : k + most]
+            x = data[begin[own] - CONTEXT + t]
+            yield own, x, (t >= CONTEXT) & (t < CONTEXT + size[own]) & ~_IS_SPACE[x]
+
+
+def pooled(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
+    """Mean distribution over the positions of each text (lower-cased UTF-8); zeros without a position."""
+    total, positions = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
+    first = 0
+    while first < len(texts):
+        last, held = first, 0
+        while last < len(texts) and (held == 0 or held + len(texts[last]) < PIECE_BYTES):
+            held += len(texts[last]) + _GAP
+            last += 1
+        data, doc, begin, size = _windows(texts[first:last])
+        for own, x, inside in _passes(data, begin, size, WINDOWS):
+            sums = np.einsum("tbc,tb->bc", model.probabilities(x), inside.astype(np.float32))
+            np.add.at(total, first + doc[own], sums)
+            np.add.at(positions, first + doc[own], inside.sum(axis=0))
+        first = last
+    return total / np.maximum(positions, 1)[:, None]
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 5) -> ByteGRU | None:
+    """A network trained on a bounded sample of the labelled rows outside the held-out fold; None without any.
+
+    Every language with a labelled row is in it.
+    """
+    labelled = docs.select(docs["doc_id"], docs["text"], docs["lang"].alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = materialise(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "language-rows")
+    # a language with few rows gives all of them
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30) * F.col("rows") < train_docs
+    sample = joined(labelled, counts, ["lang"], "inner").where(drawn | (F.col("rows") <= train_docs))
+    rows = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())  # the same order however the rows arrive
+    languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
-    text = [(bytes(w), languages.index(r["lang"])) for r in rows for w in r["words"]]
-    text.sort()  # the same order however the rows arrive
     model = ByteGRU(languages)
-    if text:
-        model.train([w for w, _ in text], np.array([c for _, c in text]))
+    texts = [t.lower().encode() for t, _ in rows]
+    if any(texts):
+        model.train(texts, np.array([languages.index(lang) for _, lang in rows]))
     return model
 
 
@@ -278,11 +240,11 @@ def predicted(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
         import pyarrow as pa
         import regex
 
-        letter, scorer = regex.compile(r"\p{L}"), None if model is None else Scorer(model)
+        letter = regex.compile(r"\p{L}")
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            known = [scorer is not None and letter.search(t) is not None for t in texts]
-            p = scorer([t.lower().encode() for t in texts]) if scorer else np.zeros((len(texts), 1))
+            known = [model is not None and letter.search(t) is not None for t in texts]
+            p = pooled(model, [t.lower().encode() for t in texts]) if model else np.zeros((len(texts), 1))
             best = p.argmax(axis=1)
             lang = [model.languages[c] if k else "und" for c, k in zip(best, known, strict=True)]
             score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
