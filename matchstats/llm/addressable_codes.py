@@ -30,9 +30,10 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from json import loads
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BYTE, _powers, materialise, mixed, new_path, python_workers, texts_of
@@ -147,7 +148,10 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 #: Units that a worker remembers at most, and bytes of text taken at a time.
 MEMO_UNITS, RECENT_UNITS, TEXT_BYTES = 1_500_000, 150_000, 1 << 21
-_TOKENIZERS: dict[str, UnitEncoder] = {}
+_TOKENIZERS: dict[str, UnitEncoder | TextEncoder] = {}
+
+# Fixed value: the cuts of the tokenizers whose texts are taken in units.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Kinds of bytes: white space, letter, digit, mark, other. A word of the first four kinds alone is cut into
 # runs of letters, runs of marks and single digits, as the tokenizer does; any other word stays whole.
@@ -277,10 +281,33 @@ class UnitEncoder:
         return out
 
 
-def _encoder(json: str) -> UnitEncoder:
+class TextEncoder:
+    """Encodes whole texts with any tokenizer."""
+
+    def __init__(self, json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(json)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+
+
+def takes_units(json: str) -> bool:
+    """Whether the tokenizer normalises and cuts texts in the way that ``UnitEncoder`` does."""
+    t = loads(json)
+    normal, cut, model = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}, t["model"]
+    steps = [x.get("pattern", {}).get("Regex", x["type"]) for x in normal.get("normalizers", [])]
+    cuts = [(x.get("pattern", {}).get("Regex", x["type"]), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in cut.get("pretokenizers", [])]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not t.get("truncation") and not t.get("padding")
+    return plain and steps == ["NFC", r"\s+", "Lowercase"] and cuts == [(_CUTS, "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+
+
+def _encoder(json: str) -> UnitEncoder | TextEncoder:
     key = hashlib.sha1(json.encode()).hexdigest()
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = UnitEncoder(json)
+        _TOKENIZERS[key] = UnitEncoder(json) if takes_units(json) else TextEncoder(json)
     return _TOKENIZERS[key]
 
 
@@ -293,6 +320,8 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
+#: Tasks that read files, at most; each takes one after the other.
+READ_TASKS = 8192
 _MANIFEST = "part int, file int, path string, docs long, ids long"
 
 
@@ -344,14 +373,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     spark = manifest.sparkSession
     python_workers(spark)
-    files, base, rows = sorted(manifest.collect()), 0, []
-    for f in files:  # one row a file of millions of ids
-        rows.append((f["path"], base))
-        base += f["ids"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    todo = spark.createDataFrame(rows, "path string, base long").repartition(len(rows))
+    before = (Window.unboundedPreceding, -1)
+    # one row a part, of which there are as many as tasks wrote files
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    parts = parts.select("part", F.coalesce(F.sum("part_ids").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("part_base"))
+    own = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(*before)), F.lit(0))
+    todo = manifest.withColumn("own_base", own).join(parts, "part").select("path", (F.col("part_base") + F.col("own_base")).alias("base"))
+    todo = materialise(todo, "dac-bases")
+    todo = todo.repartition(max(1, min(todo.count(), READ_TASKS)), "path")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -18,27 +18,27 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh, materialise, unit_hash
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Cumulative probabilities of 0, 1, 2, ... in double precision, until what is left is below 2^-53.
+def with_cdf(rates: DataFrame) -> DataFrame:
+    """source, rate, cdf: cumulative probabilities of 0, 1, 2, ... in double precision, until what is left is below 2^-53.
 
-    Terms are made from their logarithms, so a large rate does not underflow to zero throughout.
+    A row for each count, added up in windows: linear in the rate. Terms are made from their logarithms, so a
+    large rate does not underflow to zero throughout.
     """
-    most = (F.ceil(rate + 12 * F.sqrt(rate)) + 40).cast("int")
-    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
-
-    def step(acc: Column, j: Column) -> Column:
-        log = F.when(j == 0, -rate).otherwise(acc["log"] + F.log(rate) - F.log(F.greatest(j, F.lit(1)).cast("double")))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    folded = F.aggregate(F.sequence(F.lit(0), most), start, step, lambda acc: acc["cdf"])
-    return F.when(rate > 0, folded).otherwise(F.array(F.lit(1.0)))
+    most = (F.ceil(F.col("rate") + 12 * F.sqrt("rate")) + 40).cast("int")
+    d = rates.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    d = d.withColumn("j", F.explode(F.when(F.col("rate") > 0, F.sequence(F.lit(0), most)).otherwise(F.array(F.lit(0)))))
+    ahead = Window.partitionBy("key").orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("j") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.greatest("j", F.lit(1)).cast("double")))
+    d = d.withColumn("log", F.sum(F.when(F.col("rate") > 0, step).otherwise(F.lit(0.0))).over(ahead))
+    d = d.withColumn("sum", F.sum(F.exp("log")).over(ahead))
+    d = d.groupBy("key").agg(F.first("source").alias("source"), F.first("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("j", "sum"))).alias("cdf"))
+    return d.select("source", "rate", F.transform("cdf", lambda x: x["sum"]).alias("cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, rows: int | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     if not math.isfinite(scale):
         raise ValueError("weights must be finite")
     d = by.withColumn("rate", F.lit(scale) * want / F.col("n"))
-    return materialise(d.select("source", "rate", poisson_cdf(F.col("rate")).alias("cdf")), "source-rates")
+    return materialise(with_cdf(d.select("source", "rate")), "source-rates")
 
 
 def mixed_sources(docs: DataFrame, seed: int = 41, **target) -> DataFrame:

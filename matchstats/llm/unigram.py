@@ -20,6 +20,7 @@ length is taken whole; an empty table gives an empty result; other columns do no
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -91,6 +92,10 @@ class Unigram:
             self.bytes_of[i] = bytes([c])
         self.memo: dict[bytes, bytes] = {}
 
+    def digest(self) -> str:
+        """Of all that a path depends on: pieces, scores, the score of unknown characters, byte pieces."""
+        return hashlib.sha1(repr((self.bytes_of, self.score.tolist(), self.unknown, self.byte_ids.tolist())).encode()).hexdigest()
+
     # ---- Viterbi
 
     def best(self, units: list[bytes]) -> list[bytes]:
@@ -205,7 +210,7 @@ def load(path: str) -> tuple:
     return pieces, byte_ids, skip, ranks
 
 
-_MODELS: dict[int, Unigram] = {}
+_MODELS: dict[str, Unigram] = {}
 
 
 def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -216,7 +221,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
 
         model = public_tokenizers.path("piece_bpe_32k.model")
     own = Unigram(*load(model))
-    shared, key = docs.sparkSession.sparkContext.broadcast(own), zlib.crc32(repr(own.bytes_of).encode())
+    shared, key = docs.sparkSession.sparkContext.broadcast(own), own.digest()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

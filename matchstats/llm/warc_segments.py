@@ -16,16 +16,19 @@ Cases: null html is an empty payload; a null page_id never is the response for a
 as null; rows that repeat a page_id with the same html are all responses (their page is the smallest);
 an empty table gives no archive and an empty result; a payload of any length is taken whole; other
 columns do not matter. A record that is cut, has a gap in its segments or another length or digest than
-stated comes back with ``intact`` false.
+stated comes back with ``intact`` false; records of other kinds and foreign bytes are passed over, and the
+records after a damaged one are read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -98,23 +101,93 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         yield _member([*more, *last], block[at : at + segment])
 
 
-def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a gzip stream."""
-    with gzip.GzipFile(fileobj=stream) as f:
-        while line := f.readline():
-            if not line.strip():
-                continue
+#: Bytes that are read of an archive at a time.
+_READ = 1 << 16
+_MAGIC = b"\x1f\x8b\x08"
+
+
+class _Archive:
+    """The bytes of an archive that have been read and not used."""
+
+    def __init__(self, stream):
+        self.stream, self.data = stream, b""
+
+    def more(self) -> bool:
+        piece = self.stream.read(_READ)
+        self.data += piece
+        return bool(piece)
+
+    def members(self) -> Iterator[_Member]:
+        """Each gzip member; what lies between two, or follows damage in one, is passed over."""
+        while True:
+            at = self.data.find(_MAGIC)
+            if at >= 0:
+                self.data = self.data[at:]
+                yield _Member(self)
+            else:
+                self.data = self.data[-(len(_MAGIC) - 1) :]
+                if not self.more():
+                    return
+
+
+class _Member:
+    """The content of a gzip member, as far as it can be read."""
+
+    def __init__(self, archive: _Archive):
+        self.archive, self.unzip, self.text, self.over, self.used = archive, zlib.decompressobj(31), b"", False, False
+
+    def _fill(self) -> None:
+        if not self.archive.data and not self.archive.more():
+            self.over = True  # the archive is cut
+            return
+        data, self.archive.data = self.archive.data, b""
+        before = self.unzip.copy()
+        try:
+            self.text += self.unzip.decompress(data)
+            if self.unzip.eof:
+                self.over, self.archive.data = True, self.unzip.unused_data
+        except zlib.error:
+            with contextlib.suppress(zlib.error):  # what comes before the damage
+                for k in range(0, len(data), 64):
+                    self.text += before.decompress(data[k : k + 64])
+            self.over, self.archive.data = True, data[0 if self.used else 1 :]  # another member may begin in it
+        self.used = True
+
+    def line(self) -> bytes:
+        while b"\n" not in self.text and not self.over:
+            self._fill()
+        end = self.text.find(b"\n") + 1 or len(self.text)
+        out, self.text = self.text[:end], self.text[end:]
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, size = [], 0
+        while size < n and (self.text or not self.over):
+            if not self.text:
+                self._fill()
+            parts.append(self.text[: n - size])
+            self.text = self.text[n - size :]
+            size += len(parts[-1])
+        return b"".join(parts)
+
+
+def read_records(stream) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Header fields (names in lower case), block and wholeness of each record of an archive.
+
+    Damage costs what it falls on: a record that is cut, or states no length, comes with what is there of its block and False;
+    bytes that are no record are passed over, to the next line that begins one or the next gzip member.
+    """
+    for member in _Archive(stream).members():
+        while line := member.line():
             if not line.startswith(b"WARC/"):
-                raise ValueError(f"not a WARC record: {line[:40]!r}")
+                continue
             fields = {}
-            while (line := f.readline()).strip():
-                k, _, v = line.decode().partition(":")
+            while (line := member.line()).strip():
+                k, _, v = line.decode(errors="replace").partition(":")
                 fields[k.strip().lower()] = v.strip()
-            n = int(fields["content-length"])
-            block = f.read(n)
-            if len(block) != n:
-                raise ValueError("the last record is cut")
-            yield fields, block
+            n = _number(fields.get("content-length"))
+            block = b"" if n is None or n < 0 else member.take(n)
+            yield fields, block, n is not None and len(block) == n
 
 
 def _file_system(uri: str):
@@ -168,7 +241,8 @@ _WHOLE = "payload binary, payload_bytes long, payload_digest string, intact bool
 
 
 def _number(text: str | None) -> int | None:
-    return None if text is None else int(text)
+    """A whole number of 64 bits, None for anything else."""
+    return int(text) if text is not None and re.fullmatch(r"-?[0-9]{1,18}", text) else None
 
 
 def _decoded(block: bytes, stated: str | None) -> tuple[bytes, str, bool]:
@@ -199,18 +273,20 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with _file_system(folder)[0].open_input_stream(path, compression=None) as stream:
-                    for fields, block in read_records(stream):
-                        kind, number = fields["warc-type"], _number(fields.get("warc-segment-number"))
+                    for fields, block, whole in read_records(stream):
+                        kind, number = fields.get("warc-type"), _number(fields.get("warc-segment-number"))
+                        if kind not in ("response", "revisit", "continuation"):
+                            continue
                         stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                         head = (_number(fields.get("x-page-id")), fields.get("warc-target-uri"), kind, stated, _number(fields.get("x-refers-to-page-id")))
-                        if number is not None:
-                            origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
+                        origin = fields.get("warc-segment-origin-id", fields.get("warc-record-id"))
+                        if number is not None and origin is not None:
                             rows.append((*head, None, None, None, None, origin, number, _number(fields.get("warc-segment-total-length")), block))
                         elif kind == "revisit":
-                            rows.append((*head, None, None, stated, True, None, None, None, None))
+                            rows.append((*head, None, None, stated, whole, None, None, None, None))
                         else:
                             payload, digest, intact = _decoded(block, stated)
-                            rows.append((*head, payload if payloads else None, len(payload), digest, intact, None, None, None, None))
+                            rows.append((*head, payload if payloads else None, len(payload), digest, intact and whole, None, None, None, None))
                         held += len(block)
                         if len(rows) >= 256 or held >= 8 << 20:
                             yield made(rows)
