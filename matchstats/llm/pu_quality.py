@@ -154,6 +154,15 @@ def estimated_prior(p: np.ndarray, u: np.ndarray, seed: int = 3) -> float:
     return float(np.clip(1 / np.median(ratio), 0.05, 0.98))
 
 
+def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of outputs on positives and unlabelled: the risk's positive part, its negative part (below zero it counts as zero), and the derivative to descend on by each output."""
+    positive, negative = prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    dp, du = -prior * _sig(fp) / len(fp), _sig(fu) / len(fu)  # of the negative part
+    if negative < 0:  # the estimate of a risk went below zero: climb on it alone
+        return positive, negative, -dp, -du
+    return positive, negative, dp - prior * _sig(-fp) / len(fp), du
+
+
 def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, hidden: int = 16, steps: int = 1500, seed: int = 4) -> Network:
     """Minimise the non-negative unbiased risk."""
     rng = np.random.default_rng(seed)
@@ -162,13 +171,7 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, hidden: int = 16
 
     def grad(step: int):
         a, b = p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 512)]
-        fa, fb = net.value(a), net.value(b)
-        plus = -prior * _sig(-fa) / len(a)  # of prior * E_P[l(f)]
-        negative = np.logaddexp(0, fb).mean() - prior * np.logaddexp(0, fa).mean()
-        d_a, d_b = -prior * _sig(fa) / len(a), _sig(fb) / len(b)
-        if negative < 0:  # the estimate of a risk went below zero: climb on it alone
-            return np.concatenate([a, b]), np.concatenate([-d_a, -d_b])
-        return np.concatenate([a, b]), np.concatenate([plus + d_a, d_b])
+        return np.concatenate([a, b]), np.concatenate(risk_gradient(net.value(a), net.value(b), prior)[2:])
 
     _descend(net, grad, steps, 0.005, 1e-4)
     return net
