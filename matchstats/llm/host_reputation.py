@@ -11,7 +11,7 @@ Counts are pre-aggregated by host, so a host with a third of all pages is one ro
 written table of hosts in a join that AQE splits where a host is hot. Only three means and strengths
 reach the driver.
 
-Cases: a null url or one without ``://`` has empty host and path and is judged as host ''; without any
+Cases: a null url or one without ``://`` has empty host and path and is judged as host ''; a port or user in a host is part of it, but not of its domain; without any
 labelled page the prior is uniform; repeated rows are judged each by itself; an empty table gives an
 empty result; other columns do not matter.
 """
@@ -48,11 +48,14 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of the name in a host, user and port left out; an address is its own domain, with the suffix ``ip``."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
     long = F.lit(False)
     for s in LONG_SUFFIXES:
-        long = long | (host == s) | host.endswith(f".{s}")
-    cut = lambda n: F.when(long, F.substring_index(host, ".", -n - 1)).otherwise(F.substring_index(host, ".", -n))
-    return cut(2), cut(1)
+        long = long | (name == s) | name.endswith(f".{s}")
+    cut = lambda n: F.when(long, F.substring_index(name, ".", -n - 1)).otherwise(F.substring_index(name, ".", -n))
+    return F.when(address, name).otherwise(cut(2)), F.when(address, F.lit("ip")).otherwise(cut(1))
 
 
 def _strength(children: DataFrame) -> float:
@@ -119,8 +122,12 @@ h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)',
              coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 l AS (SELECT doc_id, min(quality) AS outcome FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 o AS (SELECT h.*, outcome FROM h LEFT JOIN l ON try_cast(nullif(regexp_extract(path, '^/[a-z]+/(\d{1,18})', 1), '') AS BIGINT) = l.doc_id),
-c AS (SELECT host, list_reduce(string_split(host, '.')[-2:], lambda a, b: concat(a, '.', b)) AS dom, string_split(host, '.')[-1] AS suf,
-             count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS k FROM o GROUP BY host),
+e AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM o),
+f AS (SELECT *, regexp_matches(name, '^[0-9]+([.][0-9]+){3}$|^\[') AS address,
+             CASE WHEN regexp_matches(name, '(^|[.])(co[.]uk|org[.]uk|com[.]au|co[.]jp|com[.]br)$') THEN 2 ELSE 1 END AS labels FROM e),
+c AS (SELECT host, CASE WHEN address THEN name ELSE array_to_string(string_split(name, '.')[-labels - 1:], '.') END AS dom,
+             CASE WHEN address THEN 'ip' ELSE array_to_string(string_split(name, '.')[-labels:], '.') END AS suf,
+             count(outcome)::DOUBLE AS n, coalesce(sum(outcome), 0)::DOUBLE AS k FROM f GROUP BY ALL),
 g AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m0 FROM c),
 s0 AS (SELECT suf, m0 AS m, sum(n) AS n, sum(k) AS k FROM c, g GROUP BY suf, m0),
 s1 AS (SELECT 1 / least(0.99, greatest(1e-4, (sum(pow(k - n * m, 2) / (m * (1 - m))) - sum(n)) / sum(n * (n - 1)))) - 1 AS s FROM s0 WHERE n > 0),

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ops import ODD, docs, prose
 
-from matchstats.llm import addressable_codes, pu_quality, quality_cascade, unigram, warc_segments
+from matchstats.llm import addressable_codes, host_reputation, pu_quality, quality_cascade, unigram, warc_segments
 
 # ---- 2
 
@@ -185,3 +185,28 @@ def test_models_of_other_scores_are_others():
     make = lambda extra: unigram.Unigram([(p, s + extra * (p == "ab")) for p, s in pieces], list(range(1, 257)), set(range(257)), False)
     a, b = make(0.0), make(-9.0)
     assert a.digest() == make(0.0).digest() != b.digest() and a.bytes_of == b.bytes_of
+
+
+# ---- 1
+
+
+def test_domains(spark):
+    want = {"a.b.com": ("b.com", "com"), "com": ("com", "com"), "x.shop.co.uk:8080": ("shop.co.uk", "co.uk"), "me:pw@a.b.org:1": ("b.org", "org"), "10.0.0.7:80": ("10.0.0.7", "ip"), "[::1]:80": ("[::1]", "ip"), "": ("", "")}
+    d = spark.createDataFrame([(h,) for h in want], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in d.select("host", *(c.alias(n) for c, n in zip(host_reputation.domain_and_suffix(F.col("host")), ("domain", "suffix")))).collect()}
+    assert got == want
+
+
+def test_sql_of_odd_hosts(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    hosts = ["a.x.com", "b.x.com", "a.y.co.uk", "b.y.co.uk:81", "z.org.uk", "u@q.net", "10.1.1.1", "10.1.1.2:9", "[::1]", "example.org", "com", "q.example.org:1"]
+    pages = [(k, f"http://{hosts[k % len(hosts)]}/en/{k}", "") for k in range(600)]
+    labels = [(k, int(rng.random() < 0.15 + 0.07 * (k % len(hosts))), 0) for k in range(600) if k % 3]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(host_reputation.ORACLE).fetchall())
+    got = sorted(tuple(r) for r in host_reputation.op1(spark, str(tmp_path)).collect())
+    assert got == want and len({r[4] for r in got}) == 2

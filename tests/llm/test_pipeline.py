@@ -1,9 +1,15 @@
 """The pipeline against the stages done by hand."""
 
+import hashlib
+import math
+import zlib
+
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from test_ops import brute_components, docs, extended, prose
 
-from matchstats.llm import poisson_mix, quality_cascade
+from matchstats.llm import quality_cascade, unigram
 
 
 def test_stages(spark):
@@ -23,8 +29,34 @@ def test_stages(spark):
     _, low = brute_components({i: texts[i] for i in ids["exact_dedup"]}, 5)
     assert ids["near_duplicates"] == [i for i in ids["exact_dedup"] if low[i] == i] and 32 not in ids["near_duplicates"]
     near = d.where(d.doc_id.isin(ids["near_duplicates"]))
-    assert ids["mix_sources"] == sorted(r.doc_id for r in poisson_mix.mixed_sources(near).collect()) == ids["encode"]
-    assert all(r.round_trip for r in out.collect())
+    # one source: its rate is 1
+    assert near.select("source").distinct().count() == 1
+    assert ids["mix_sources"] == sorted(i for i in ids["near_duplicates"] for _ in range(copies(i, 1.0))) == ids["encode"]
+    model = unigram.Unigram(*unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+    for r in out.collect():
+        assert model.decode(np.array(r.ids)).decode() == texts[r.doc_id] and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<i4").tobytes()) and r.n_pieces == len(r.ids)
+        assert r.round_trip and abs(sum(model.score[i] for i in r.ids) - best(model, texts[r.doc_id])) < 1e-6
+
+
+def copies(doc_id, rate, seed=41):
+    """Count of a document: its uniform number inverted."""
+    u, k, term, below = int(hashlib.md5(f"{seed}:{doc_id}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate), math.exp(-rate)
+    while below <= u:
+        k += 1
+        term *= rate / k
+        below += term
+    return k
+
+
+def best(model, text):
+    """Greatest score of any cut of a text into pieces; the texts here need no byte pieces."""
+    skip = set(model.byte_ids.tolist())
+    pieces = {p: s for i, (p, s) in enumerate(zip(model.bytes_of, model.score, strict=True)) if p and i not in skip}
+    data, most = (" " + text).encode(), max(map(len, pieces))
+    top = [0.0] + [-math.inf] * len(data)
+    for end in range(1, len(data) + 1):
+        top[end] = max((top[a] + pieces[data[a:end]] for a in range(max(0, end - most), end) if data[a:end] in pieces), default=-math.inf)
+    return top[-1]
 
 
 def test_run(spark):
