@@ -50,10 +50,10 @@ from .components import components
 K, MISSED = 48, 1e-6
 #: Lists with more members than this are settled in step 5.
 LONG_LIST = 64
-#: Shingles of all majority sets that may be broadcast (8 bytes each).
-MAJORITY_SHINGLES = 1_000_000
+#: Elements that more than one in OFTEN members have come last in every member's order; so many of all places may be broadcast (8 bytes each).
+OFTEN, OFTEN_SHINGLES = 32, 1_000_000
 _SIG = ["s0", "s1", "s2", "s3"]
-#: Parity signature of the elements that a member may share with another component.
+#: Parity signature of a member's difference from the majority set.
 _PAR = [f"p{i}" for i in range(16)]
 
 
@@ -254,16 +254,28 @@ class _Neighbourhoods:
         """The rows dealt out evenly before their arrays are exploded: the members of a place, or its long ones, may lie together."""
         return rows.repartition(self.parts)
 
+    def counted(self, rows: DataFrame, column: str, share: int) -> DataFrame:
+        """Written table of place and ``often``: the values of array ``column`` that more than one in ``share`` of the place's rows have, in order of how many.
+
+        An array has at most ``share`` times the mean length of the place's.
+        """
+        sizes = materialise(rows.groupBy("place").agg(F.count("*").alias("members")), "place-sizes")
+        each = self.dealt(rows.select("place", column)).select("place", F.explode(column).alias("u"))
+        each = each.groupBy("place", "u").agg(F.count("*").alias("df")).where("df > 1")
+        each = joined(each, sizes, ["place"], "inner").where(share * F.col("df") > F.col("members"))
+        d = each.groupBy("place").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "u"))), lambda x: x["u"]).alias("often"))
+        return materialise(d, "often-shingles")
+
+    def beside(self, rows: DataFrame, often: DataFrame) -> DataFrame:
+        """``rows`` with the array of their place, broadcast if all are small."""
+        size = often.agg(F.coalesce(F.sum(F.size("often")), F.lit(0))).first()[0]
+        d = rows.join(F.broadcast(often) if size <= OFTEN_SHINGLES else often, "place", "left")
+        return d.withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+
     def differing(self, sets: DataFrame) -> None:
         """Written table ``self.members``: node, place, component, n, delta (difference from the majority set), excess."""
-        sizes = materialise(sets.groupBy("place").agg(F.count("*").alias("members")), "place-sizes")
-        often = self.dealt(sets.select("place", "hashes")).select("place", F.explode("hashes").alias("u")).groupBy("place", "u").agg(F.count("*").alias("df")).where("df > 1")
-        often = materialise(joined(often, sizes, ["place"], "inner").where(2 * F.col("df") > F.col("members")).select("place", "u"), "majority-shingles")
-        # a place's array has at most twice the mean size of its sets
-        major = materialise(often.groupBy("place").agg(F.collect_list("u").alias("major")), "majority-sets")
-        major = F.broadcast(major) if often.count() <= MAJORITY_SHINGLES else major
-        d = sets.join(major, "place", "left").withColumn("major", F.coalesce("major", F.array().cast("array<long>")))
-        d = d.withColumn("delta", F.concat(F.array_except("hashes", "major"), F.array_except("major", "hashes"))).withColumn("n", F.size("hashes"))
+        d = self.beside(sets, self.counted(sets, "hashes", 2))
+        d = d.withColumn("delta", F.concat(F.array_except("hashes", "often"), F.array_except("often", "hashes"))).withColumn("n", F.size("hashes"))
         d = d.withColumn("excess", (self.unit * F.size("delta") - self.free * F.col("n")).cast("long"))
         self.members = materialise(d.select("node", "place", "component", "n", "delta", "excess"), "place-members")
 
@@ -276,9 +288,9 @@ class _Neighbourhoods:
         return d.select("a", "b"), materialise(d.groupBy("component").agg(F.min("label").alias("label")), "centre-labels")
 
     def entries(self, labels: DataFrame) -> DataFrame:
-        """Written table of the lists of elements: place, u, node, component, n, excess, alone (elements that no other component has), signature.
+        """Written table of the lists of elements: place, u, node, component, n, excess, signature.
 
-        A member has a row for each element of its prefix: of the elements of D that two components have, the rarest, so many that it shares one with every partner.
+        A member has a row for each element of its prefix: so many of D, those that many have last, that it shares one with every partner.
         """
         d = materialise(_relabelled(self.members, labels), "placed-members")
         # the least excess of a partner: of the other components of the place
@@ -288,31 +300,27 @@ class _Neighbourhoods:
         second = joined(each, first, ["place"], "inner").where("component <> holder").groupBy("place", "first", "holder").agg(F.min("e").alias("second"))
         second = materialise(second, "second-excess")
         d = joined(d, second, ["place"], "inner")
-        values = self.dealt(d.select("node", "place", "component", "delta")).select("node", "place", "component", F.explode("delta").alias("u"))
-        values = materialise(values, "differing-shingles")
-        shared = values.groupBy("place", "u").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
-        shared = shared.where("low < high").select("place", "u", "df")
-        own = values.select("node", "place", "u").join(shared, ["place", "u"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "u"))).alias("us"))
-        d = d.withColumn("d", F.size("delta")).drop("delta").join(own, "node")
         partner = F.when(F.col("component") == F.col("holder"), F.col("second")).otherwise(F.col("first"))
         by_excess = F.ceil((F.col("excess") + partner) / (2 * self.unit) - 1e-9)
-        by_size = F.ceil(F.col("d") - F.col("n") * self.free / self.s.percent - 1e-9)
-        prefix = F.size("us") - F.greatest(F.lit(1), by_excess, by_size) + 1
-        d = d.withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-        d = d.select("place", "node", "component", "n", "excess", (F.col("d") - F.size("us")).alias("alone"), "prefix", F.transform("us", lambda x: x["u"]).alias("us"))
-        kinds = "place long, node long, component long, n int, excess long, alone int, prefix int, us array<long>"
+        by_size = F.ceil(F.size("delta") - F.col("n") * self.free / self.s.percent - 1e-9)
+        prefix = F.size("delta") - F.greatest(F.lit(1), by_excess, by_size) + 1
+        d = materialise(d.withColumn("prefix", prefix.cast("int")).where("prefix > 0").select("place", "node", "component", "n", "excess", "prefix", "delta"), "able-members")
+        d = self.beside(d, self.counted(d, "delta", OFTEN))
+        us = F.concat(F.sort_array(F.array_except("delta", "often")), F.array_intersect("often", "delta"))
+        d = d.select("place", "node", "component", "n", "excess", F.slice(us, F.lit(1), F.col("prefix")).alias("us"), "delta")
+        kinds = "place long, node long, component long, n int, excess long, us array<long>"
         signed = d.mapInArrow(_parities, ", ".join([kinds, *(f"{c} long" for c in _PAR)]))
-        return materialise(signed.select("place", "node", "component", "n", "excess", "alone", *_PAR, F.explode(F.slice("us", F.lit(1), F.col("prefix"))).alias("u")), "element-lists")
+        return materialise(signed.select("place", "node", "component", "n", "excess", *_PAR, F.explode("us").alias("u")), "element-lists")
 
     def near(self, a: str, b: str) -> Column:
         """Different components, and the signatures do not show that the two differ in too many shingles."""
         x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-        differ = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in _PAR), x("alone") + y("alone"))
+        differ = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in _PAR), F.lit(0))
         return (x("component") != y("component")) & self.s.sized(x("n"), y("n")) & (self.unit * differ <= self.free * (x("n") + y("n")))
 
     def hub_pairs(self, entries: DataFrame) -> DataFrame:
         """Each entry with its list's member of least excess."""
-        hubs = entries.groupBy("place", "u").agg(F.min_by(F.struct("node", "component", "n", "alone", *_PAR), F.struct("excess", "node")).alias("member"))
+        hubs = entries.groupBy("place", "u").agg(F.min_by(F.struct("node", "component", "n", *_PAR), F.struct("excess", "node")).alias("member"))
         hubs = materialise(hubs.select("place", "u", "member.*"), "element-hubs")
         at = (F.col("x.place") == F.col("h.place")) & (F.col("x.u") == F.col("h.u")) & self.near("x", "h")
         return entries.alias("x").join(hubs.alias("h"), at).select(*_pair("x", "h"))
@@ -354,15 +362,16 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def _parities(batches: Iterator) -> Iterator:
-    """Adds the parity signature of each row's elements."""
+    """Puts the parity signature of each row's ``delta`` in its place."""
     import pyarrow as pa
 
+    bits = 64 * len(_PAR)
     for batch in batches:
-        us, bits = batch.column("us"), 64 * len(_PAR)
-        row = np.repeat(np.arange(len(us)), np.asarray(us.value_lengths()))
-        odd = np.bincount(row * bits + (us.flatten().to_numpy() & (bits - 1)), minlength=len(us) * bits).astype(np.uint8) & 1
-        sig = np.packbits(odd.reshape(len(us), bits), axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(sig[:, i]) for i in range(len(_PAR)))], names=[*batch.schema.names, *_PAR])
+        sig = np.zeros((batch.num_rows, len(_PAR)), dtype=np.int64)
+        for k, d in enumerate(batch.column("delta")):
+            odd = np.bincount(d.values.to_numpy() & (bits - 1), minlength=bits).astype(np.uint8) & 1
+            sig[k] = np.packbits(odd).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(sig[:, i]) for i in range(len(_PAR)))], names=[*batch.schema.names[:-1], *_PAR])
 
 
 def clusters(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
