@@ -68,6 +68,34 @@ class Direction:
             out[t] = h
         return out
 
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """The same as ``forward`` as (steps, size, windows): units lie in rows, so every operation runs over whole ones, in place."""
+        n, windows = self.size, x.shape[1]
+        # the logistic function is 0.5 tanh(z / 2) + 0.5: its factors are in the weights
+        half = np.repeat(np.float32([0.5, 0.5, 1.0]), n)[:, None]
+        table, hidden = self.table.T * half, np.ascontiguousarray(self.hidden.T) * np.float32(0.5)
+        bias = self.bias[:, None] * np.float32(0.5)
+        h, a, b = np.zeros((n, windows), np.float32), np.empty((3 * n, windows), np.float32), np.empty((3 * n, windows), np.float32)
+        update, reset, gates, new, inner = a[:n], a[n : 2 * n], a[: 2 * n], a[2 * n :], b[2 * n :]
+        out = np.empty((len(x), n, windows), dtype=np.float32)
+        for t in range(len(x)):
+            np.take(table, x[t], axis=1, out=a, mode="clip")
+            np.matmul(hidden, h, out=b)
+            gates += b[: 2 * n]
+            np.tanh(gates, out=gates)
+            inner += bias
+            reset += 1
+            reset *= inner
+            new += reset
+            np.tanh(new, out=new)
+            update += 1
+            update *= 0.5
+            h -= new
+            h *= update
+            h += new
+            out[t] = h
+        return out
+
     def backward(self, x: np.ndarray, kept: list, dout: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients through time, given those of the states."""
         n = self.size
@@ -111,6 +139,17 @@ class ByteGRU:
             keep |= {"states": states, "kept": kept}
         return p
 
+    def sums(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """(windows, languages): the distributions of the positions ``inside`` (steps, windows), added up."""
+        n = self.ahead.size
+        p = np.matmul(self.out[:n].T, self.ahead.states(x))
+        p += np.matmul(self.out[n:].T, self.behind.states(x[::-1]))[::-1]
+        p += self.out_bias[:, None]
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (inside / p.sum(axis=1))[:, None]
+        return p.sum(axis=0).T
+
     def gradients(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, list[tuple[object, str, np.ndarray]]]:
         """Cross-entropy weighted by position (steps, windows) and its gradients by backpropagation through time."""
         keep: dict = {}
@@ -204,8 +243,7 @@ def pooled(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
             last += 1
         data, doc, begin, size = _windows(texts[first:last])
         for own, x, inside in _passes(data, begin, size, WINDOWS):
-            sums = np.einsum("tbc,tb->bc", model.probabilities(x), inside.astype(np.float32))
-            np.add.at(total, first + doc[own], sums)
+            np.add.at(total, first + doc[own], model.sums(x, inside.astype(np.float32)))
             np.add.at(positions, first + doc[own], inside.sum(axis=0))
         first = last
     return total / np.maximum(positions, 1)[:, None]
