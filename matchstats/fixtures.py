@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .operators.ingest import dedupe_first
 
+#: Tables that battles are derived from.
+TABLES = ["lineitem", "orders", "customer", "nation"]
 DEDUPE_ORDER = ["battle_at", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 

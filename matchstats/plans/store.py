@@ -1,7 +1,8 @@
 """The tables that statistics are answered from: battles without repeats, state, players, cells.
 
 They are derived from the star-schema tables of a folder in one pass over the line items, the first time that a session
-asks for them, and written to the shared folder; cells are partitioned by version. ``forget`` has them derived again.
+asks for them, and written to the shared folder; cells are partitioned by version. They are derived again if the tables
+of the folder have changed since, if the written ones are gone, or after ``forget``.
 """
 
 from __future__ import annotations
@@ -10,30 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
 from ..operators import cells, ingest, state
-from ..storage import materialise, new_path
+from ..storage import new_path, stamp
 
 
 class Store:
-    _BUILT: dict[tuple[str, str], Store] = {}
+    _BUILT: dict[tuple, Store] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.battles = materialise(fixtures.battles(spark, sf_dir), "battles")
-        self.state = materialise(state.character_state(ingest.to_sides(ingest.ranked(self.battles), state.STATE_SIDE)), "state")
-        self.players = materialise(state.players(state.merge_players(self.state)), "players")
-        built, path = cells.build_cells(state.with_region(self.state)), new_path(spark, "cells")
-        cells.write_cells(built, path)
+        self.spark, self.paths = spark, []
+        self.battles = self._written("battles", fixtures.battles(spark, sf_dir))
+        self.state = self._written("state", state.character_state(ingest.to_sides(ingest.ranked(self.battles), state.STATE_SIDE)))
+        self.players = self._written("players", state.players(state.merge_players(self.state)))
+        path = self._path("cells")
+        cells.write_cells(cells.build_cells(state.with_region(self.state)), path)
         self.cells = cells.read_cells(spark, path)
 
+    def _path(self, name: str) -> str:
+        self.paths.append(new_path(self.spark, name))
+        return self.paths[-1]
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        path = self._path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @property
     def stats(self) -> DataFrame:
         return state.character_stats(self.state)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Store:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in cls._BUILT:
-            cls._BUILT[key] = cls(spark, sf_dir)
-        return cls._BUILT[key]
+        key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in fixtures.TABLES))
+        found = cls._BUILT.get(key)
+        if found is None or not all(stamp(spark, p) for p in found.paths):
+            found = cls._BUILT[key] = cls(spark, sf_dir)
+        return found
 
     @classmethod
     def forget(cls) -> None:

@@ -27,6 +27,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Time of change and length of a file or folder in any store that Spark reads; None if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    status = files.getFileStatus(at)
+    return status.getModificationTime(), status.getLen()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
