@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import addressable_codes, host_reputation, language_gru, lsm_dedup, near_dedup, poisson_mix, pu_quality, quality_cascade, unigram, warc_segments
+from . import addressable_codes, fingerprints, host_reputation, language_gru, lsm_dedup, near_dedup, periodic_runs, poisson_mix, pu_quality, quality_cascade, unigram, warc_segments, whitening
 from .common import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": _docs(near_dedup.op8),
     "op9_pu_quality": lambda spark, sf_dir: pu_quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_lsm_dedup": _docs(lsm_dedup.op10),
+    "op11_periodic_runs": _docs(periodic_runs.op11),
+    "op12_whitening": lambda spark, sf_dir: whitening.op12(table(spark, sf_dir, "embeddings")),
+    "op13_fingerprints": _docs(fingerprints.op13),
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op5_poisson_mix": poisson_mix.ORACLE,
     "op6_quality_cascade": quality_cascade.ORACLE,
     "op10_lsm_dedup": lsm_dedup.ORACLE,
+    "op13_fingerprints": fingerprints.ORACLE,
 }
