@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .ingest import with_region
 
 CELL = ["game_version", "character_id", "dan_rank", "category", "region_id"]
+_TOTALS = ["total_wins", "total_losses", "total_players", "total_replays"]
+_KINDS = "character_id string, dan_rank int, category string, region_id int, total_wins long, total_losses long, total_players long, total_replays long, game_version int"
 
 
 def stats_with_region(stats: DataFrame, players: DataFrame) -> DataFrame:
@@ -55,9 +57,33 @@ def write_cells(cells: DataFrame, path: str) -> None:
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells as ``build_cells`` gives them; a filter on the version reads its partitions alone."""
-    kinds = "character_id string, dan_rank int, category string, region_id int, total_wins long, total_losses long, total_players long, total_replays long, game_version int"
-    d = spark.read.schema(kinds).parquet(path)
-    return d.select(*CELL, "total_wins", "total_losses", "total_players", "total_replays")
+    return spark.read.schema(_KINDS).parquet(path).select(*CELL, *_TOTALS)
+
+
+def cell_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Signed totals that lead from one set of cells to another; cells that stay as they are are not in it."""
+    gone = before.select(*CELL, *((-F.col(c)).alias(c) for c in _TOTALS))
+    d = after.select(*CELL, *_TOTALS).unionByName(gone).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in _TOTALS))
+    return d.where(" OR ".join(f"{c} <> 0" for c in _TOTALS))
+
+
+def merge_cells(cells: DataFrame, changes: DataFrame) -> DataFrame:
+    """Cells with signed changes added; a cell whose last player has left is gone."""
+    d = cells.select(*CELL, *_TOTALS).unionByName(changes.select(*CELL, *_TOTALS)).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in _TOTALS))
+    return d.where("total_players <> 0")
+
+
+def version_folder(path: str, version: int) -> str:
+    return f"{path}/v={version}"
+
+
+def write_versions(cells: DataFrame, path: str) -> None:
+    """Cells in a folder for each version, whose files have all columns."""
+    cells.withColumn("v", F.col("game_version")).repartition("v").write.partitionBy("v").parquet(path)
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_KINDS).parquet(path)
 
 
 def refresh_cells(stats: DataFrame, path: str, versions: list[int] | None) -> None:

@@ -1,49 +1,71 @@
-"""Micro-batch ingest with incremental state, streaming dedupe, running statistics, refresh of touched cells.
-
-A micro-batch appends what is new: battles, the state of players and characters that these alone give (a delta),
-counts of replays and the versions it touches. Each is a partition by ``ingest_id``, written with dynamic partition
-overwrite, so a batch that is delivered again replaces what it wrote. State merges are associative: the state is
-the last snapshot merged with the deltas after it, and ``compact`` folds these into a new snapshot. No battle is
-read again for it. Which versions wait for their cells, and until which batch these are fresh, is stored too, so
-neither is lost with the driver.
+"""Micro-batch ingest as one transaction, with incremental state, cells kept up by signed deltas, and rejected rows.
+
+A micro-batch stores what is new: battles, the state of players and characters that these alone give (a delta), the rows
+that break a rule, and counts. Each is a folder of its own; a commit record, written last, makes them all
+visible at once (see ``ledger``). A batch is known by its stream and number, so one that is delivered again changes
+nothing, and neither a new checkpoint nor a second query replaces what another one stored. State merges are associative:
+the state is the last snapshot merged with the deltas after it. ``compact`` folds these into a new snapshot, and many small
+folders of battles into one; ``vacuum`` removes what is not named any more. No battle is read again for the state.
+
+Cells follow by signed deltas: the players of the batches since the last refresh are taken out as they were and put in as
+they are now, so a player whose region, rank or main character moves leaves the cells of every version right, and no
+other player is looked at. Which batches have their cells is in the records too, so it is not lost with the driver.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cells, ingest, state
+from ..schema import name_of
+from ..storage import BROADCAST_ROWS
+from .ledger import Conflict, Ledger, View
 
 #: Seconds between two refreshes of cells.
 COOLDOWN = 120
+#: Files of a snapshot lie in so many parts by player, so that a few players are looked up in a few of them.
+PARTS = 64
+_DAY = 86400
 
 
 @dataclass
 class Tables:
-    """Folders under ``root``: battles, deltas, snapshots, counts, touched, refreshes, cells."""
+    """Tables under ``root``, as the commit records name them."""
 
     root: str
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def ledger(self, spark: SparkSession) -> Ledger:
+        return Ledger(spark, self.root)
 
-    def read(self, spark: SparkSession, name: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(self.path(name))
-        except AnalysisException:  # nothing stored yet
+    def view(self, spark: SparkSession) -> View:
+        return self.ledger(spark).view()
+
+    def read(self, spark: SparkSession, folders: list[str]) -> DataFrame | None:
+        """The rows of some folders, None for no folder."""
+        if not folders:
             return None
+        paths = [f"{self.root}/{f}" for f in folders]
+        return spark.read.schema(spark.read.parquet(paths[0]).schema).parquet(*paths)
+
+    def battles(self, spark: SparkSession, view: View | None = None) -> DataFrame | None:
+        d = self.read(spark, [b[0] for b in (view or self.view(spark)).battles])
+        return None if d is None else d.drop("day")
 
-    def replace(self, df: DataFrame, name: str, key: str, value: int) -> DataFrame:
-        """Write ``df`` as the partition ``key=value`` and read it back."""
-        d = df.withColumn(key, F.lit(value).cast("long"))
-        d.write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path(name))
-        return df.sparkSession.read.schema(d.schema).parquet(self.path(name)).where(F.col(key) == value).drop(key)
+    def rejects(self, spark: SparkSession) -> DataFrame | None:
+        """Rows that were not stored, with ``failed``: the rules that they break."""
+        return self.read(spark, self.view(spark).rejects)
+
+    def cells(self, spark: SparkSession, view: View | None = None, versions: list[int] | None = None) -> DataFrame | None:
+        """Cells of all versions that have any, or of some."""
+        own = (view or self.view(spark)).cells
+        return self.read(spark, [f for v, f in sorted(own.items()) if versions is None or int(v) in versions])
 
 
 def total_order(batch: DataFrame) -> list[Column]:
@@ -51,97 +73,250 @@ def total_order(batch: DataFrame) -> list[Column]:
     return [F.col("battle_at"), F.xxhash64(*batch.columns)]
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list | None = None, horizon: int | None = None) -> None:
-    """Store what is new in a batch, its delta, counts and versions. Running it again with the same id changes nothing.
+#: Columns that a battle has to have.
+REQUIRED = ["battle_id", "battle_at", "game_version", "player1_id", "player2_id", "player1_character_id", "player2_character_id"]
+
+
+def failed_rules(battles: DataFrame) -> Column:
+    """The rules that a row breaks: not_null(column) for the columns that a battle has to have (a blank id counts as none), known(battle_type)."""
+    kinds = {f.name: f.dataType for f in battles.schema}
+
+    def missing(c: str) -> Column:
+        blank = F.trim(c) == "" if kinds[c] == T.StringType() else F.lit(False)
+        return F.col(c).isNull() | F.coalesce(blank, F.lit(False))
+
+    rules = {f"not_null({c})": missing(c) for c in REQUIRED}
+    rules["known(battle_type)"] = F.col("battle_type").isNotNull() & name_of("battle_type", F.col("battle_type")).isNull()
+    return F.filter(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules.items())), lambda r: r.isNotNull())
+
+
+def _near(view: View, days: tuple[int, int] | None) -> list[str]:
+    """Folders of battles that have a day between ``days``."""
+    return [f for f, _, low, high in view.battles if days is None or (low <= days[1] and high >= days[0])]
+
+
+def _new_battles(good: DataFrame, tables: Tables, view: View, order: list | None, horizon: int | None) -> DataFrame:
+    """The battles of a batch that are not stored: ids are looked up among all stored ones, or in the folders and days within ``horizon`` seconds of the batch."""
+    spark = good.sparkSession
+    fresh, days = ingest.dedupe_first(good, ["battle_id"], order or total_order(good)), None
+    if horizon is not None:
+        low, high = good.agg(F.min("battle_at"), F.max("battle_at")).first()
+        if low is None:
+            return fresh
+        days = (low - horizon) // _DAY, (high + horizon) // _DAY
+    stored = tables.read(spark, _near(view, days))
+    if stored is None:
+        return fresh
+    if days is not None:
+        stored = stored.where(F.col("day").between(*days)).where(F.col("battle_at").between(low - horizon, high + horizon))
+    return fresh.join(stored.select("battle_id"), "battle_id", "left_anti")
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list | None = None, horizon: int | None = None, stream: str = "") -> None:
+    """Store what is new in a batch, its delta and counts, and the rows that break a rule, in one commit. A batch of a stream that is stored already changes nothing.
 
     Ids are looked up among all stored ones. Where a repeated battle is known to keep its time, ``horizon`` (seconds)
-    restricts that to stored battles so close to the times of the batch, and Parquet statistics skip the rest.
+    restricts that to stored battles so close to the times of the batch: only folders of these days are read.
     """
-    spark = batch.sparkSession
-    stored = tables.read(spark, "battles")
-    fresh = ingest.dedupe_first(batch, ["battle_id"], order or total_order(batch))
-    if stored is not None:
-        old = stored.where(F.col("ingest_id") != batch_id)
-        if horizon is not None:
-            low, high = batch.agg(F.min("battle_at"), F.max("battle_at")).first()
-            old = old.where(F.col("battle_at").between(low - horizon, high + horizon)) if low is not None else old
-        fresh = fresh.join(old.select("battle_id"), "battle_id", "left_anti")
-    now = tables.replace(fresh, "battles", "ingest_id", batch_id)
-    tables.replace(state.character_state(ingest.to_sides(ingest.ranked(now), state.STATE_SIDE)), "deltas", "ingest_id", batch_id)
+    ledger = tables.ledger(batch.sparkSession)
+    while True:
+        view = ledger.view()
+        if view.has(stream, batch_id):
+            return
+        try:
+            ledger.commit(_written(batch, batch_id, tables, view, order, horizon, stream), view.number, {"ingest"})
+            return
+        except Conflict:  # another stream stored a batch meanwhile: it may hold the same battles
+            continue
+
+
+def _written(batch: DataFrame, batch_id: int, tables: Tables, view: View, order: list | None, horizon: int | None, stream: str) -> dict:
+    """Writes the folders of a batch; the record that names them."""
+    spark, ledger = batch.sparkSession, tables.ledger(batch.sparkSession)
+    record = {"kind": "ingest", "stream": stream, "batch": batch_id, "ranked": 0, "unranked": 0, "rejected": {}, "versions": []}
+
+    def write(df: DataFrame, table: str) -> tuple[str, DataFrame]:
+        folder = ledger.new_folder(table)
+        df.write.parquet(f"{tables.root}/{folder}")
+        return folder, spark.read.schema(df.schema).parquet(f"{tables.root}/{folder}")
+
+    failed = F.size(failed_rules(batch)) > 0
+    fresh = _new_battles(batch.where(~failed), tables, view, order, horizon)
+    folder, now = write(fresh.withColumn("day", F.floor(F.col("battle_at") / _DAY).cast("int")), "battles")
     is_ranked = F.coalesce(F.col("battle_type") == 2, F.lit(False))
-    tables.replace(now.agg(F.count_if(is_ranked).alias("ranked"), F.count_if(~is_ranked).alias("unranked")), "counts", "ingest_id", batch_id)
-    tables.replace(state.affected_versions(now), "touched", "ingest_id", batch_id)
+    n = now.agg(F.count_if(is_ranked).alias("ranked"), F.count_if(~is_ranked).alias("unranked"), F.min("day").alias("low"), F.max("day").alias("high"), F.collect_set(F.when(is_ranked, F.col("game_version"))).alias("versions")).first()
+    if n["low"] is not None:
+        record |= {"battles": folder, "days": [n["low"], n["high"]], "ranked": n["ranked"], "unranked": n["unranked"], "versions": sorted(n["versions"])}
+    if n["ranked"]:
+        delta = state.character_state(ingest.to_sides(ingest.ranked(now), state.STATE_SIDE))
+        record["delta"], _ = write(delta, "deltas")
+    folder, bad = write(batch.where(failed).withColumn("failed", failed_rules(batch)), "rejects")
+    rejected = {r["rule"]: r["n"] for r in bad.select(F.explode("failed").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")).collect()}  # a few rules
+    if rejected:
+        record |= {"rejects": folder, "rejected": rejected}
+    return record
 
 
-def current_state(spark: SparkSession, tables: Tables) -> DataFrame | None:
-    """State of all stored battles: the newest snapshot merged with the deltas after it."""
-    deltas, snapshots = tables.read(spark, "deltas"), tables.read(spark, "snapshots")
-    if snapshots is None:
-        return None if deltas is None else state.merge_states(deltas.drop("ingest_id"))
-    upto = snapshots.agg(F.max("upto")).first()[0]
-    base = snapshots.where(F.col("upto") == upto).drop("upto")
-    return state.merge_states(base.unionByName(deltas.where(F.col("ingest_id") > upto).drop("ingest_id")))
+def _part(player: Column) -> Column:
+    return F.pmod(F.xxhash64(player), F.lit(PARTS)).cast("int")
 
 
-def compact(spark: SparkSession, tables: Tables) -> None:
-    """Fold the deltas into a new snapshot. Not while a batch is being written."""
-    deltas = tables.read(spark, "deltas")
+@dataclass
+class Players:
+    """Some players: their ids, whether these may be broadcast, and the parts of a snapshot that they lie in."""
+
+    ids: DataFrame
+    small: bool
+    parts: list[int]
+
+    def of(self, d: DataFrame) -> DataFrame:
+        if "part" in d.columns:
+            d = d.where(F.col("part").isin(self.parts))
+        return d.join(F.broadcast(self.ids) if self.small else self.ids, "player_id", "left_semi")
+
+
+def current_state(spark: SparkSession, tables: Tables, view: View | None = None, upto: int | None = None, players: Players | None = None) -> DataFrame | None:
+    """State of all stored battles, or of those up to a record, or of some players: the snapshot merged with the deltas after it."""
+    view, of = view or tables.view(spark), players.of if players else lambda d: d
+    parts = []
+    if view.state:
+        parts.append(of(spark.read.parquet(f"{tables.root}/{view.state}")).drop("part"))
+    deltas = tables.read(spark, [f for f, number in view.deltas if upto is None or number <= upto])
     if deltas is not None:
-        tables.replace(current_state(spark, tables), "snapshots", "upto", deltas.agg(F.max("ingest_id")).first()[0])
+        parts.append(of(deltas))
+    return state.merge_states(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def compact(spark: SparkSession, tables: Tables) -> None:
+    """Fold the deltas into a new snapshot, and the battles of single batches into one folder. Batches may come in meanwhile: they are merged as deltas after it.
+
+    Deltas that have no cells yet are needed for them one by one, and stay.
+    """
+    ledger, view = tables.ledger(spark), tables.view(spark)
+    upto = min(view.number, view.fresh) if view.touched else view.number
+    now = current_state(spark, tables, view, upto=upto) if any(n <= upto for _, n in view.deltas) else None
+    if now is None:
+        return
+    folder = ledger.new_folder("snapshots")
+    d = now.withColumn("part", _part(F.col("player_id")))
+    d.repartition("part").sortWithinPartitions("part", "player_id").write.partitionBy("part").parquet(f"{tables.root}/{folder}")
+    record = {"kind": "compact", "state": folder, "upto": upto, "battles": None, "replaced": []}
+    single = [b for b in view.battles if b[1]]
+    if len(single) > 1:
+        record["replaced"], battles = [b[0] for b in single], ledger.new_folder("battles")
+        rows = tables.read(spark, record["replaced"])
+        rows.repartitionByRange("day", "battle_id").sortWithinPartitions("day", "battle_id").write.parquet(f"{tables.root}/{battles}")
+        record["battles"] = [battles, 0, min(b[2] for b in single), max(b[3] for b in single)]
+    ledger.commit(record, view.number, {"compact"})
+    ledger.store_view()
+
+
+def vacuum(spark: SparkSession, tables: Tables, grace: float = 7 * _DAY, now: float | None = None) -> list[str]:
+    """Remove folders that nothing names any more, after ``grace`` seconds; the folders."""
+    return tables.ledger(spark).vacuum(time.time() if now is None else now, grace)
 
 
 def summary(spark: SparkSession, tables: Tables) -> DataFrame | None:
     """One row: ranked and unranked replays, players."""
-    counts, now = tables.read(spark, "counts"), current_state(spark, tables)
-    if counts is None or now is None:
+    view = tables.view(spark)
+    if not view.done:
         return None
-    total = counts.agg(F.sum("ranked").alias("total_ranked_replays"), F.sum("unranked").alias("total_unranked_replays"))
-    return total.join(now.agg(F.count_distinct("player_id").alias("total_players")), how="cross")  # one row each
+    now = current_state(spark, tables, view)
+    players = spark.range(1).select(F.lit(0).cast("long").alias("total_players")) if now is None else now.agg(F.count_distinct("player_id").alias("total_players"))
+    return players.select(F.lit(view.ranked).cast("long").alias("total_ranked_replays"), F.lit(view.unranked).cast("long").alias("total_unranked_replays"), "total_players")
+
 
+def rejected_counts(spark: SparkSession, tables: Tables) -> DataFrame:
+    """constraint_name and violations of the rows that were not stored, as in ``constraint_report``."""
+    found = tables.view(spark).rejected
+    rules = [*(f"not_null({c})" for c in REQUIRED), "known(battle_type)"]
+    return spark.createDataFrame([(r, found.get(r, 0)) for r in rules], "constraint_name string, violations long")
 
-def _last_refresh(spark: SparkSession, tables: Tables) -> tuple[int, float]:
-    """Last batch whose versions have fresh cells, and when they were made."""
-    done = tables.read(spark, "refreshes")
-    upto, at = (None, None) if done is None else done.agg(F.max("upto"), F.max("at")).first()
-    return (-1 if upto is None else upto), (float("-inf") if at is None else at)
 
+# ---- cells
 
-def pending_versions(spark: SparkSession, tables: Tables) -> tuple[list[int], int]:
-    """Versions touched since the last refresh, and the last batch that touched any."""
-    touched, (upto, _) = tables.read(spark, "touched"), _last_refresh(spark, tables)
-    rows = [] if touched is None else touched.where(F.col("ingest_id") > upto).groupBy("game_version").agg(F.max("ingest_id").alias("last")).collect()  # a few versions
-    return sorted(r["game_version"] for r in rows), max((r["last"] for r in rows), default=upto)
+
+def pending_versions(spark: SparkSession, tables: Tables, view: View | None = None) -> tuple[list[int], int]:
+    """Versions of battles that came in since the last refresh, and the last record that has any."""
+    view = view or tables.view(spark)
+    return sorted({v for _, versions in view.touched for v in versions}), max((n for n, _ in view.touched), default=view.fresh)
+
+
+def moved_players(spark: SparkSession, tables: Tables, view: View) -> Players:
+    """Players of the batches since the last refresh."""
+    ids = tables.read(spark, [f for f, number in view.deltas if number > view.fresh]).select("player_id").distinct()
+    by_part = ids.groupBy(_part(F.col("player_id")).alias("part")).agg(F.count("*").alias("n")).collect()  # PARTS rows at most
+    return Players(ids, sum(r["n"] for r in by_part) <= BROADCAST_ROWS, sorted(r["part"] for r in by_part))
+
+
+def cell_deltas(spark: SparkSession, tables: Tables, view: View) -> DataFrame:
+    """What the batches since the last refresh add to the cells (numbers may be negative): the players concerned as they are now, less as they were."""
+    moved = moved_players(spark, tables, view)
+    after = cells.build_cells(state.with_region(current_state(spark, tables, view, players=moved)))
+    before = current_state(spark, tables, view, upto=view.fresh, players=moved)
+    return after if before is None else cells.cell_changes(cells.build_cells(state.with_region(before)), after)
 
 
 def refresh(spark: SparkSession, tables: Tables, now: float | None = None, cooldown: float = COOLDOWN) -> list[int]:
-    """Recompute the cells of the versions that wait for it, unless the last refresh is less than ``cooldown`` seconds ago; the versions.
+    """Bring the cells up to date, unless the last refresh is less than ``cooldown`` seconds ago; the versions whose cells changed.
 
-    A version stays pending until its cells are written: a job that dies in between does them again.
+    Batches stay pending until their cells are committed: a job that dies in between does them again.
     """
     now = time.time() if now is None else now
-    versions, upto = pending_versions(spark, tables)
-    if not versions or now - _last_refresh(spark, tables)[1] < cooldown:
-        return []
-    refresh_versions(spark, tables, versions)
-    tables.replace(spark.range(1).select(F.lit(float(now)).alias("at")), "refreshes", "upto", upto)
-    return versions
+    while True:
+        view = tables.view(spark)
+        versions, upto = pending_versions(spark, tables, view)
+        if not versions or (view.refreshed_at is not None and now - view.refreshed_at < cooldown):
+            return []
+        folder = tables.ledger(spark).new_folder("cells")
+        delta = cell_deltas(spark, tables, view)
+        cells.write_versions(delta, f"{tables.root}/{folder}-delta")
+        delta = cells.read_versions(spark, f"{tables.root}/{folder}-delta")
+        changed = sorted(r["game_version"] for r in delta.select("game_version").distinct().collect())  # a few versions
+        old = tables.cells(spark, view, changed)
+        try:
+            _commit_cells(spark, tables, view, delta if old is None else cells.merge_cells(old, delta), changed, folder, upto, now)
+            return changed
+        except Conflict:  # another refresh was faster
+            continue
+
+
+def _commit_cells(spark: SparkSession, tables: Tables, view: View, new: DataFrame, versions: list[int], folder: str, upto: int, now: float | None) -> None:
+    cells.write_versions(new, f"{tables.root}/{folder}")
+    kept = {r["game_version"] for r in cells.read_versions(spark, f"{tables.root}/{folder}").select("game_version").distinct().collect()}
+    own = {str(v): cells.version_folder(folder, v) if v in kept else None for v in versions}
+    tables.ledger(spark).commit({"kind": "refresh", "cells": own, "fresh": upto, "at": now}, view.number, {"refresh"})
 
 
 def refresh_versions(spark: SparkSession, tables: Tables, versions: list[int] | None) -> None:
-    """Recompute the cells of some versions, or of all, from the state; only their partitions are replaced. A player's region comes from all versions."""
-    now = current_state(spark, tables)
-    if now is not None:
-        stats = state.with_region(now)
-        cells.refresh_cells(stats, tables.path("cells"), versions)
+    """Recompute the cells of some versions, or of all, from the state of all players. The batches that wait stay pending only if not all versions are done."""
+    while True:
+        view = tables.view(spark)
+        # with pending batches, some versions alone would be ahead of the others: they are recomputed as of the last refresh
+        now = current_state(spark, tables, view, upto=None if versions is None else view.fresh)
+        if now is None:
+            return
+        new = cells.build_cells(state.with_region(now))
+        new = new if versions is None else new.where(F.col("game_version").isin(versions))
+        known = [int(v) for v in view.cells]
+        folder = tables.ledger(spark).new_folder("cells")
+        wanted = versions if versions is not None else sorted({*known, *(r["game_version"] for r in now.select("game_version").distinct().collect())})
+        upto = view.fresh if versions is not None else max(view.fresh, pending_versions(spark, tables, view)[1])
+        try:
+            _commit_cells(spark, tables, view, new, wanted, folder, upto, view.refreshed_at)
+            return
+        except Conflict:
+            continue
 
 
 def start_ingest(stream: DataFrame, tables: Tables, checkpoint: str, order: list | None = None, horizon: int | None = None, **trigger) -> StreamingQuery:
-    """Ingest a stream of battles. ``trigger``: availableNow=True by default."""
+    """Ingest a stream of battles. ``trigger``: availableNow=True by default. The checkpoint is what tells one stream from another; its progress reports rows and rows that break a rule."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ingest_batch(df, batch_id, tables, order, horizon)
+        ingest_batch(df, batch_id, tables, order, horizon, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    seen = stream.observe("ingest", F.count("*").alias("rows"), F.count_if(F.size(failed_rules(stream)) > 0).alias("rejected"))
+    return seen.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def start_refresh(spark: SparkSession, tables: Tables, every: str = "2 minutes") -> StreamingQuery:

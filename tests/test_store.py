@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_tables_are_derived_once(spark, tmp_path):
     for t in ("lineitem", "orders", "customer", "nation"):
-        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     store = Store.of(spark, str(tmp_path))
     assert Store.of(spark, str(tmp_path)) is store
     kept = sorted(map(tuple, store.cells.collect()))
