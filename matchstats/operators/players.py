@@ -25,11 +25,25 @@ def recent_character(stats: DataFrame) -> DataFrame:
     return stats.groupBy("player_id").agg(F.min_by("character_id", first).alias("character_id"), F.min_by("dan_rank", first).alias("dan_rank"), F.max("latest_battle").alias("latest_battle"))
 
 
+def merge_matchups(d: DataFrame) -> DataFrame:
+    """Counts of matchups added up: batches may be merged in any order."""
+    return d.groupBy("player_id", "character_id", "opp_character_id").agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
+
+
+def matchup_state(sides: DataFrame) -> DataFrame:
+    """Wins and losses of each (player, own character, opponent's character) over ranked sides."""
+    win = F.col("is_win").cast("long")
+    return merge_matchups(sides.select("player_id", "character_id", "opp_character_id", win.alias("wins"), (1 - win).alias("losses")))
+
+
+def rated(matchups: DataFrame) -> DataFrame:
+    """Matchup counts with total and rate."""
+    return matchups.withColumn("total", F.col("wins") + F.col("losses")).withColumn("winrate", share(F.col("wins"), F.col("total")))
+
+
 def player_matchups(sides: DataFrame) -> DataFrame:
     """Wins, losses and rate of each (player, own character, opponent's character) over ranked sides."""
-    win = F.col("is_win").cast("long")
-    d = sides.groupBy("player_id", "character_id", "opp_character_id").agg(F.sum(win).alias("wins"), F.sum(1 - win).alias("losses"))
-    return d.withColumn("total", F.col("wins") + F.col("losses")).withColumn("winrate", share(F.col("wins"), F.col("total")))
+    return rated(matchup_state(sides))
 
 
 def best_worst_matchups(matchups: DataFrame, min_games: int = MIN_MATCHUP_GAMES) -> DataFrame:
@@ -74,25 +88,38 @@ def player_metadata(players: DataFrame, stats: DataFrame) -> DataFrame:
     return d.select("player_id", "name", "region_id", "polaris_id", utc_date(F.col("latest_battle"), False).alias("latest_battle_date"), "power", "main_character", "main_rank")
 
 
-def search_predicate(q: str, name: Column, polaris_id: Column) -> Column:
-    """Name contains ``q`` in any case, or the id contains it without dashes; ``%`` and ``_`` are plain characters."""
+def check_query(q: str) -> None:
     if not q.strip() or len(q) >= 20:
         raise ValueError("a query has 1 to 19 characters, not all blank")
+
+
+def search_predicate(q: str, name: Column, polaris_id: Column) -> Column:
+    """Name contains ``q`` in any case, or the id contains it without dashes; ``%`` and ``_`` are plain characters."""
+    check_query(q)
     low = q.lower()
     return F.lower(name).contains(low) | F.lower(polaris_id).contains(low.replace("-", ""))
 
 
-def rank_search(found: DataFrame, q: str, limit: int = 20) -> DataFrame:
+def _search_order(q: str) -> list[Column]:
     """Equal names first, then names that start with the query, then short names."""
     name, low = F.lower("name"), q.lower()
-    return found.orderBy(F.when(name == low, 0).when(name.startswith(low), 1).otherwise(20), F.length("name"), "name", "player_id").limit(limit)
+    return [F.when(name == low, 0).when(name.startswith(low), 1).otherwise(20), F.length("name").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("player_id")]
+
+
+def rank_search(found: DataFrame, q: str, limit: int = 20) -> DataFrame:
+    return found.orderBy(*_search_order(q)).limit(limit)
+
+
+def found_players(found: DataFrame, stats: DataFrame, q: str) -> DataFrame:
+    """The rows of a search result in their order; ``stats`` has those of the players found."""
+    d = _named(found.join(main_character_overall(stats), "player_id", "left")).orderBy(*_search_order(q))
+    return d.select("player_id", "name", "polaris_id", format_id(F.col("polaris_id")).alias("formatted_id"), F.coalesce("region_id", F.lit(-1)).alias("region_id"), "main_character", "main_rank")
 
 
 def player_search(players: DataFrame, stats: DataFrame, q: str, limit: int = 20) -> DataFrame:
+    """By a scan of all players; ``search`` has the same by an index."""
     found = rank_search(players.where(search_predicate(q, F.col("name"), F.col("polaris_id"))), q, limit)
-    own = stats.join(F.broadcast(found.select("player_id")), "player_id", "left_semi")  # ``limit`` rows
-    d = _named(found.join(main_character_overall(own), "player_id", "left"))
-    return d.select("player_id", "name", "polaris_id", format_id(F.col("polaris_id")).alias("formatted_id"), F.coalesce("region_id", F.lit(-1)).alias("region_id"), "main_character", "main_rank")
+    return found_players(found, stats.join(F.broadcast(found.select("player_id")), "player_id", "left_semi"), q)  # ``limit`` rows
 
 
 def recently_active(players: DataFrame, stats: DataFrame, now: Column | None = None, seconds: int = 600, limit: int = 40) -> DataFrame:
@@ -101,7 +128,8 @@ def recently_active(players: DataFrame, stats: DataFrame, now: Column | None = N
     found = players.where(F.col("latest_battle") > now - seconds).orderBy(F.desc("latest_battle"), "player_id").limit(limit)
     own = stats.join(F.broadcast(found.select("player_id")), "player_id", "left_semi")  # ``limit`` rows
     d = found.withColumnRenamed("latest_battle", "last_seen").join(recent_character(own).drop("latest_battle"), "player_id", "left")
-    return _named(d).select("player_id", "name", "polaris_id", "region_id", "power", "last_seen", F.col("main_character").alias("recent_character"), F.col("main_rank").alias("recent_rank"))
+    d = _named(d).select("player_id", "name", "polaris_id", "region_id", "power", "last_seen", F.col("main_character").alias("recent_character"), F.col("main_rank").alias("recent_rank"))
+    return d.orderBy(F.desc("last_seen"), "player_id")  # a join keeps no order
 
 
 def leaderboard(players: DataFrame, stats: DataFrame, n: int = 20) -> DataFrame:
@@ -121,13 +149,13 @@ def resolve_player_ids(players: DataFrame, polaris_ids: DataFrame) -> DataFrame:
     return d.select("asked", "polaris_id", pad18(F.col("player_id")).alias("player_id"), F.regexp_replace("player_id", "^0+", "").alias("short_id"))
 
 
-def player_profile(players: DataFrame, stats: DataFrame, sides: DataFrame) -> DataFrame:
-    """One row a (player, character): attributes, totals, season ranks, best and worst matchup."""
+def player_profile(players: DataFrame, stats: DataFrame, matchups: DataFrame) -> DataFrame:
+    """One row a (player, character): attributes, totals, season ranks, best and worst matchup (``matchups`` with rates)."""
     own = stats.join(players.select("player_id"), "player_id", "left_semi")
-    games = sides.join(players.select("player_id"), "player_id", "left_semi")
+    games = matchups.join(players.select("player_id"), "player_id", "left_semi")
     head = player_metadata(players, own).join(players.select("player_id", "latest_battle"), "player_id").drop("latest_battle_date")
     key = ["player_id", "character_id"]
-    d = character_totals(own).join(season_ranks(own), key).join(best_worst_matchups(player_matchups(games)), key, "left")
+    d = character_totals(own).join(season_ranks(own), key).join(best_worst_matchups(games), key, "left")
     return head.join(d, "player_id", "left").withColumn("character", name_of("character", F.col("character_id")))
 
 
@@ -138,10 +166,10 @@ def history_pages(history: DataFrame, days: int = 30) -> DataFrame:
     return history.groupBy("player_id", page).agg(F.sort_array(F.collect_list(F.struct("battle_at", *fields)), asc=False).alias("battles"))
 
 
-def nested_profiles(players: DataFrame, stats: DataFrame, sides: DataFrame) -> DataFrame:
+def nested_profiles(players: DataFrame, stats: DataFrame, matchups: DataFrame) -> DataFrame:
     """One row a player: attributes and a map of characters with their matchups; both are bounded by the number of characters. The battles are in ``history_pages``."""
-    flat = player_profile(players, stats, sides)
-    m = player_matchups(sides).withColumn("opponent", name_of("character", F.col("opp_character_id")))
+    flat = player_profile(players, stats, matchups)
+    m = matchups.withColumn("opponent", name_of("character", F.col("opp_character_id")))
     m = m.groupBy("player_id", "character_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("opponent", F.struct("wins", "losses", "total", F.col("winrate").cast("float").alias("winrate")))))).alias("matchups"))
     flat = flat.join(m, ["player_id", "character_id"], "left")
     summary = F.struct("wins", "losses", F.col("winrate").cast("float").alias("winrate"), "current_season_rank", "previous_season_rank", "best_opponent", "best_winrate", "worst_opponent", "worst_winrate", "matchups")

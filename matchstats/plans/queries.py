@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ class Frames:
         """Battles without repeats, from the line items."""
         return fixtures.battles(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def store(self) -> Store:
         return Store.of(self.spark, self.sf_dir)
 
@@ -47,7 +48,7 @@ class Frames:
 
     @property
     def matchups(self) -> DataFrame:
-        return players.player_matchups(self.sides("player_id", "character_id", "opp_character_id", "is_win"))
+        return players.rated(self.store.matchups)
 
     @property
     def stats(self) -> DataFrame:
@@ -136,11 +137,8 @@ def _pages(f: Frames) -> DataFrame:
     return backfill.backfill_pages(ingest.water_marks(f.battles), PAGE_WIDTH, PAGE_STEP)
 
 
-_MATCHUP_SIDE = ["player_id", "character_id", "opp_character_id", "is_win"]
-
-
 def _profiles(f: Frames) -> DataFrame:
-    return players.player_profile(f.players, f.stats, f.sides(*_MATCHUP_SIDE))
+    return players.player_profile(f.players, f.stats, f.matchups)
 
 
 def _new_battles(f: Frames) -> DataFrame:
@@ -212,13 +210,13 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
     "player_character_totals": lambda f: players.character_totals(f.stats),
     "season_ranks": lambda f: players.season_ranks(f.stats),
     "player_metadata": lambda f: players.player_metadata(f.players, f.stats),
-    "player_search": lambda f: players.player_search(f.players, f.stats, SEARCH),
-    "player_search_by_id": lambda f: players.player_search(f.players, f.stats, SEARCH_ID),
+    "player_search": lambda f: f.store.search.search(f.stats, SEARCH),
+    "player_search_by_id": lambda f: f.store.search.search(f.stats, SEARCH_ID),
     "recently_active": _recent,
     "leaderboard": lambda f: players.leaderboard(f.players, f.stats),
     "resolve_player_ids": _resolve,
     "player_profile": _profiles,
-    "player_profile_nested": lambda f: players.nested_profiles(f.players, f.stats, f.sides(*_MATCHUP_SIDE)),
+    "player_profile_nested": lambda f: players.nested_profiles(f.players, f.stats, f.matchups),
     # scalars
     "rank_tiers": lambda f: f.sides("dan_rank").distinct().select("dan_rank", scalars.tier(F.col("dan_rank")).alias("tier"), scalars.tier(F.col("dan_rank"), "beginner").alias("tier_or_beginner")),
     "named_characters": lambda f: with_names(f.sides("character_id").groupBy("character_id").agg(F.count("*").alias("sides")), "character", "character_id", "name"),
@@ -232,6 +230,8 @@ BUILDERS: dict[str, Callable[[Frames], DataFrame]] = {
 def _query(build: Callable[[Frames], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # rows in one place by player are in one place by player and character too
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         return build(Frames(spark, sf_dir))
 
     return run

@@ -1,17 +1,24 @@
-"""The tables that statistics are answered from: battles without repeats, state, players, cells.
+"""The tables that statistics are answered from: battles without repeats, state, players, matchups, cells, search postings.
 
 They are derived from the star-schema tables of a folder in one pass over the line items, the first time that a session
-asks for them, and written to the shared folder; cells are partitioned by version. They are derived again if the tables
-of the folder have changed since, if the written ones are gone, or after ``forget``.
+asks for them, and written to the shared folder. State, players and matchups lie in the same buckets by player, so
+they are joined, grouped and ranked by player without an exchange, and a few players are looked up in a few buckets; cells are
+partitioned by version. Search postings are made when first asked for. All are derived again if the tables of the folder have
+changed since, if the written ones are gone, or after ``forget``.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixtures
-from ..operators import cells, ingest, state
-from ..storage import new_path, stamp
+from ..operators import cells, ingest, players, state
+from ..operators.search import SearchIndex
+from ..storage import exists, new_path, stamp
 
 
 class Store:
@@ -19,11 +26,16 @@ class Store:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.paths = spark, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.battles = self._written("battles", fixtures.battles(spark, sf_dir))
-        self.state = self._written("state", state.character_state(ingest.to_sides(ingest.ranked(self.battles), state.STATE_SIDE)))
-        self.players = self._written("players", state.players(state.merge_players(self.state)))
+        ranked = ingest.ranked(self.battles)
         path = self._path("cells")
-        cells.write_cells(cells.build_cells(state.with_region(self.state)), path)
+        with ThreadPoolExecutor(2) as both:  # two passes that do not need each other
+            matchups = both.submit(self._bucketed, "matchups", players.matchup_state(ingest.to_sides(ranked, ["player_id", "character_id", "opp_character_id", "is_win"])))
+            self.state = self._bucketed("state", state.character_state(ingest.to_sides(ranked, state.STATE_SIDE)))
+            people = both.submit(self._bucketed, "players", state.players(state.merge_players(self.state)))
+            cells.write_cells(cells.build_cells(state.with_region(self.state)), path)
+            self.matchups, self.players = matchups.result(), people.result()
         self.cells = cells.read_cells(spark, path)
 
     def _path(self, name: str) -> str:
@@ -35,15 +47,26 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _bucketed(self, name: str, df: DataFrame) -> DataFrame:
+        """Written in buckets by player: a task writes one."""
+        path, table = self._path(name), f"matchstats_{name}_{uuid.uuid4().hex}"
+        d = df.repartition(self.buckets, "player_id")
+        d.write.bucketBy(self.buckets, "player_id").sortBy("player_id").option("path", path).format("parquet").saveAsTable(table)
+        return self.spark.table(table)
+
     @property
     def stats(self) -> DataFrame:
         return state.character_stats(self.state)
 
+    @cached_property
+    def search(self) -> SearchIndex:
+        return SearchIndex.build(self.players, self._path("search"))
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Store:
         key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in fixtures.TABLES))
         found = cls._BUILT.get(key)
-        if found is None or not all(stamp(spark, p) for p in found.paths):
+        if found is None or not all(exists(spark, p) for p in found.paths):
             found = cls._BUILT[key] = cls(spark, sf_dir)
         return found
 

@@ -53,12 +53,17 @@ def stamp(spark: SparkSession, path: str) -> tuple | None:
     status = files.getFileStatus(at)
     if not status.isDirectory():
         return status.getModificationTime(), status.getLen()
-    # one call each for number and length of all files below; a file that is written anew has another time
-    summary = files.getContentSummary(at)
-    newest, below = 0, files.listFiles(at, True)
+    # a file that is written anew has another time
+    found, below = [], files.listFiles(at, True)
     while below.hasNext():
-        newest = max(newest, below.next().getModificationTime())
-    return newest, summary.getLength(), summary.getFileCount()
+        one = below.next()
+        found.append((one.getModificationTime(), one.getLen()))
+    return tuple(sorted(found))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
 
 
 def listing(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
