@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.scalars import utc_date
 from ..schema import WIRE, WIRE_SCHEMA
@@ -59,15 +59,16 @@ def decoded_stream(messages: DataFrame) -> DataFrame:
 
 
 class _Page(InputPartition):
-    def __init__(self, end: int):
-        super().__init__(end)
-        self.end = end
+    def __init__(self, end: int, round: int = 0):
+        super().__init__((end, round))
+        self.end, self.round = end, round
 
 
 class ReplayPages(DataSource):
     """``spark.read.format("replay_pages")``: a partition for each page; options path (a folder of ``<end>.json`` arrays), start, end, step.
 
-    A page that is missing or broken is skipped, as a failed fetch would be.
+    A page that is missing or broken is skipped, as a failed fetch would be. As a stream (``readStream``), it goes on from two
+    marks in both directions and fetches failed pages again, see ``read_page_stream``.
     """
 
     @classmethod
@@ -80,6 +81,9 @@ class ReplayPages(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _PageReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _PageStream(self.options)
+
 
 class _PageReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -90,19 +94,118 @@ class _PageReader(DataSourceReader):
         return [_Page(t) for t in self.ends]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
+        return iter(_fetched(self.path, partition.end) or [])
+
+
+def _files(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def _fetched(path: str, end: int) -> list[tuple] | None:
+    """Rows of a page, None if it cannot be fetched."""
+    files, root = _files(path)
+    try:
+        with files.open_input_stream(f"{root}/{end}.json") as f:
+            records = json.loads(f.read())
+    except (OSError, ValueError):
+        return None
+    return [tuple(str(v) if v is not None and isinstance(k.dataType, T.StringType) else v for k, v in ((f, r.get(f.name)) for f in WIRE_SCHEMA)) for r in records]
+
+
+class _PageStream(DataSourceStreamReader):
+    """Offsets: the newest page end that was asked for, the oldest one, the failed pages to fetch again, and a count of rounds.
+
+    A task that cannot fetch its page leaves a note in the folder of notes, which the next offset takes up. One that can
+    removes it if it is of an earlier round: where a batch is read more than once, a page that failed once in it is
+    fetched again in the next one, and counts as tried once. What a batch fetches follows from its two offsets alone, so a batch that is done again fetches the same pages.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.step = options["path"], int(options.get("step", 640))
+        self.most, self.tries = int(options.get("pages", 100)), int(options.get("tries", 10))
+        self.first, self.limit = int(options["forward_from"]), options.get("back_to")
+        self.back = int(options.get("back_from", self.first))
+        self.now = options.get("now")
+        self.files, self.notes = _files(options["notes"])
+        self.files.create_dir(self.notes, recursive=True)
+        self.at: dict | None = None
+
+    def initialOffset(self) -> dict:
+        return {"forward": self.first, "back": self.back, "again": [], "round": 0}
+
+    def _noted(self) -> dict[int, tuple[int, int]]:
+        """Failed pages: how often they were tried, and in which round last."""
         from pyarrow import fs
 
-        where = self.path if ":" in self.path else f"file://{self.path}"
-        files, root = fs.FileSystem.from_uri(where)
-        try:
-            with files.open_input_stream(f"{root}/{partition.end}.json") as f:
-                records = json.loads(f.read())
-        except (OSError, ValueError):
-            return
-        for r in records:
-            yield tuple(str(v) if v is not None and isinstance(k.dataType, T.StringType) else v for k, v in ((f, r.get(f.name)) for f in WIRE_SCHEMA))
+        out = {}
+        for f in self.files.get_file_info(fs.FileSelector(self.notes)):
+            if f.base_name.endswith(".failed"):
+                end, *last = map(int, f.base_name.split(".")[:3])
+                out[end] = max(tuple(last), out.get(end, (0, 0)))
+        return out
+
+    def _progress(self) -> dict:
+        if self.at is None:
+            try:
+                with self.files.open_input_stream(f"{self.notes}/progress.json") as f:
+                    self.at = json.loads(f.read())
+            except FileNotFoundError:
+                self.at = self.initialOffset()
+        return self.at
+
+    def latestOffset(self) -> dict:
+        import time
+
+        at, now = self._progress(), int(self.now) if self.now else int(time.time())
+        ahead = min((now - at["forward"]) // self.step, self.most)
+        left = self.most - max(ahead, 0)
+        # the page of the oldest mark itself comes first
+        back = at["back"] - self.step * min(max(0, -(-(at["back"] - int(self.limit)) // self.step)), left) if self.limit else at["back"]
+        again = sorted(end for end, (tries, _) in self._noted().items() if tries < self.tries)[: self.most]
+        new = {"forward": at["forward"] + self.step * max(ahead, 0), "back": back, "again": again}
+        moved = again or any(new[k] != at[k] for k in ("forward", "back"))
+        return new | {"round": at["round"] + 1} if moved else at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = end
+        forward = range(start["forward"] + self.step, end["forward"] + 1, self.step)
+        return [_Page(t, end["round"]) for t in dict.fromkeys([*reversed(forward), *range(start["back"], end["back"], -self.step), *end["again"]])]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        rows = _fetched(self.path, partition.end)
+        tries, last = self._noted().get(partition.end, (0, -1))
+        note = lambda n, r: f"{self.notes}/{partition.end}.{n}.{r}.failed"
+        if last != partition.round:
+            if rows is None:
+                self.files.open_output_stream(note(tries + 1, partition.round)).close()
+            if tries:
+                self.files.delete_file(note(tries, last))
+        return iter(rows or [])
+
+    def commit(self, end: dict) -> None:
+        with self.files.open_output_stream(f"{self.notes}/progress.json") as f:
+            f.write(json.dumps(end).encode())
 
 
 def read_pages(spark: SparkSession, path: str, start: int, end: int, step: int = 640) -> DataFrame:
     spark.dataSource.register(ReplayPages)
     return _columns(spark.read.format("replay_pages").options(path=path, start=str(start), end=str(end), step=str(step)).load())
+
+
+def read_page_stream(plan: DataFrame, path: str, notes: str, step: int = 640, now: int | None = None, pages: int = 100, tries: int = 10) -> DataFrame:
+    """Stream of battles from pages: forward from the newest mark to the present, and back from the oldest one to the horizon, ``pages`` a batch at most.
+
+    ``plan`` is the row of ``backfill.resume_plan``, for the first start; later ones go on from the checkpoint. A page that cannot be fetched
+    is fetched again in the batches after, ``tries`` times at most; ``notes`` is a folder that driver and executors
+    share, which says what failed. Pages overlap, so repeats are for ``dedupe_stream`` or the ingest to drop.
+    """
+    spark, row = plan.sparkSession, plan.first()
+    spark.dataSource.register(ReplayPages)
+    options = {"path": path, "notes": notes, "step": str(step), "pages": str(pages), "tries": str(tries), "forward_from": str(row["forward_from"])}
+    if row["back_from"] is not None:
+        options |= {"back_from": str(row["back_from"]), "back_to": str(row["back_to"])}
+    if now is not None:
+        options["now"] = str(now)
+    return _columns(spark.readStream.format("replay_pages").options(**options).load())

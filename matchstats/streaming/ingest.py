@@ -119,15 +119,19 @@ def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list |
     restricts that to stored battles so close to the times of the batch: only folders of these days are read.
     """
     ledger = tables.ledger(batch.sparkSession)
-    while True:
-        view = ledger.view()
-        if view.has(stream, batch_id):
-            return
-        try:
-            ledger.commit(_written(batch, batch_id, tables, view, order, horizon, stream), view.number, {"ingest"})
-            return
-        except Conflict:  # another stream stored a batch meanwhile: it may hold the same battles
-            continue
+    batch = batch.persist()  # a source is read once, as far as executors live
+    try:
+        while True:
+            view = ledger.view()
+            if view.has(stream, batch_id):
+                return
+            try:
+                ledger.commit(_written(batch, batch_id, tables, view, order, horizon, stream), view.number, {"ingest"})
+                return
+            except Conflict:  # another stream stored a batch meanwhile: it may hold the same battles
+                continue
+    finally:
+        batch.unpersist()
 
 
 def _written(batch: DataFrame, batch_id: int, tables: Tables, view: View, order: list | None, horizon: int | None, stream: str) -> dict:
