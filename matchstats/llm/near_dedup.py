@@ -23,6 +23,9 @@
    Other partners share so many elements of D that one is among the first few of both, in order of
    rarity; lists of these elements first pair each member with one hub, and only what is then in
    different components meets again, the members outside a neighbourhood's largest component with all.
+   Where a list is so long that this is dearer than to divide it, its members meet in lists by two
+   shared elements, and so on: partners share as many as they need, and each level says which pairs
+   have enough already.
    A parity signature bounds the difference of a pair from below inside the join, so hardly any pair
    that is not a link is written; what is written is verified exactly.
 
@@ -52,6 +55,8 @@ K, MISSED = 48, 1e-6
 LONG_LIST = 64
 #: Elements that more than one in OFTEN members have come last in every member's order; so many of all places may be broadcast (8 bytes each).
 OFTEN, OFTEN_SHINGLES = 32, 1_000_000
+#: A list goes on with one more element where comparing its members is so many times dearer than that, and never below so many members.
+DEARER, SHORT_LIST = 1, 16
 _SIG = ["s0", "s1", "s2", "s3"]
 #: Parity signature of a member's difference from the majority set.
 _PAR = [f"p{i}" for i in range(16)]
@@ -287,11 +292,8 @@ class _Neighbourhoods:
         d = materialise(d.select(F.col("node").alias("a"), F.col("c.node").alias("b"), "component", "c.label"), "centre-links")
         return d.select("a", "b"), materialise(d.groupBy("component").agg(F.min("label").alias("label")), "centre-labels")
 
-    def entries(self, labels: DataFrame) -> DataFrame:
-        """Written table of the lists of elements: place, u, node, component, n, excess, signature.
-
-        A member has a row for each element of its prefix: so many of D, those that many have last, that it shares one with every partner.
-        """
+    def able(self, labels: DataFrame) -> DataFrame:
+        """Written table of the members that may have a partner yet: place, node, component, n, excess, o (elements of D that they share with any partner at least), us (D, in order: those that many have last), signature."""
         d = materialise(_relabelled(self.members, labels), "placed-members")
         # the least excess of a partner: of the other components of the place
         each = materialise(d.groupBy("place", "component").agg(F.min("excess").alias("e")), "component-excess")
@@ -303,14 +305,24 @@ class _Neighbourhoods:
         partner = F.when(F.col("component") == F.col("holder"), F.col("second")).otherwise(F.col("first"))
         by_excess = F.ceil((F.col("excess") + partner) / (2 * self.unit) - 1e-9)
         by_size = F.ceil(F.size("delta") - F.col("n") * self.free / self.s.percent - 1e-9)
-        prefix = F.size("delta") - F.greatest(F.lit(1), by_excess, by_size) + 1
-        d = materialise(d.withColumn("prefix", prefix.cast("int")).where("prefix > 0").select("place", "node", "component", "n", "excess", "prefix", "delta"), "able-members")
+        least = F.greatest(F.lit(1), by_excess, by_size).cast("int")
+        d = materialise(d.withColumn("o", least).where(F.col("o") <= F.size("delta")).select("place", "node", "component", "n", "excess", "o", "delta"), "able-members")
         d = self.beside(d, self.counted(d, "delta", OFTEN))
         us = F.concat(F.sort_array(F.array_except("delta", "often")), F.array_intersect("often", "delta"))
-        d = d.select("place", "node", "component", "n", "excess", F.slice(us, F.lit(1), F.col("prefix")).alias("us"), "delta")
-        kinds = "place long, node long, component long, n int, excess long, us array<long>"
-        signed = d.mapInArrow(_parities, ", ".join([kinds, *(f"{c} long" for c in _PAR)]))
-        return materialise(signed.select("place", "node", "component", "n", "excess", *_PAR, F.explode("us").alias("u")), "element-lists")
+        d = d.select("place", "node", "component", "n", "excess", "o", us.alias("us"), "delta")
+        kinds = "place long, node long, component long, n int, excess long, o int, us array<long>"
+        return materialise(d.mapInArrow(_parities, ", ".join([kinds, *(f"{c} long" for c in _PAR)])), "ordered-members")
+
+    def entries(self, rows: DataFrame, level: int) -> DataFrame:
+        """Written table of lists by ``level`` shared elements: place, u (hash of them), at (place of the last one in the member's order), room (elements it may go on with), and the member's columns.
+
+        ``rows`` has the members' columns, and u and at of the level before (0 at first). Of ``o`` shared elements, the first ``level`` are among the first |D| - o + level of both partners.
+        """
+        most = lambda t: F.least(F.size("us"), F.size("us") - F.col("o") + t)
+        each = rows.select(*rows.columns, F.posexplode(F.slice("us", F.col("at") + 1, F.greatest(F.lit(0), most(level) - F.col("at")))).alias("k", "element"))
+        each = each.withColumn("u", F.col("element") if level == 1 else F.xxhash64("u", "element")).withColumn("at", F.col("at") + F.col("k") + 1)
+        room = F.greatest(F.lit(0), most(level + 1) - F.col("at"))
+        return materialise(each.select("place", "u", "at", room.alias("room"), "node", "component", "n", "excess", *_PAR), "element-lists")
 
     def near(self, a: str, b: str) -> Column:
         """Different components, and the signatures do not show that the two differ in too many shingles."""
@@ -325,14 +337,38 @@ class _Neighbourhoods:
         at = (F.col("x.place") == F.col("h.place")) & (F.col("x.u") == F.col("h.u")) & self.near("x", "h")
         return entries.alias("x").join(hubs.alias("h"), at).select(*_pair("x", "h"))
 
-    def rest_pairs(self, entries: DataFrame) -> DataFrame:
-        """Entries outside the largest component of their place with all of their list."""
+    def rest_pairs(self, entries: DataFrame, able: DataFrame) -> list[DataFrame]:
+        """Entries outside the largest component of their place with others of their list, level by level.
+
+        A list is compared if that is cheaper than to let its members go on with one more shared element each; else only the pairs
+        that are linked by what they share already are looked for, and the others meet again one level deeper.
+        So comparisons stay within a multiple of the rows, however many members share an element.
+        """
         most = entries.groupBy("place", "component").agg(F.count("*").alias("c")).groupBy("place").agg(F.max_by("component", "c").alias("largest"))
-        d = joined(entries, materialise(most, "largest-components"), ["place"], "inner")
-        few = d.where(F.col("component") != F.col("largest"))
-        once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-        at = (F.col("x.place") == F.col("y.place")) & (F.col("x.u") == F.col("y.u")) & once & self.near("x", "y")
-        return few.alias("x").join(d.alias("y"), at).select(*_pair("x", "y"))
+        most, level, found = materialise(most, "largest-components"), 1, []
+        while True:
+            d = joined(entries, most, ["place"], "inner").withColumn("few", F.col("component") != F.col("largest"))
+            low = F.col("excess") <= self.unit * level
+            plan = d.groupBy("place", "u").agg(F.count_if("few").alias("f"), F.count("*").alias("c"), F.count_if(low).alias("low"), F.sum("room").alias("growth"), F.count_distinct("component").alias("kinds"))
+            plan = plan.where("f > 0 AND kinds > 1").withColumn("deeper", (F.col("c") > SHORT_LIST) & (F.col("f") * F.col("c") > DEARER * F.col("growth")))
+            d = joined(d, materialise(plan.select("place", "u", "f", "c", "low", "deeper"), "list-plans"), ["place", "u"], "inner")
+            d = materialise(d.withColumn("is_low", low).drop("f", "c", "low"), "planned-lists")
+            flat, deep = d.where(~F.col("deeper")), d.where("deeper")
+            once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+            found.append(self.compared(flat.where("few"), flat, once))
+            if deep.isEmpty():
+                return found
+            # as many shared elements as this pair needs: one of the two has half of the excess at most
+            linked = F.col("x.excess") + F.col("y.excess") <= 2 * self.unit * level
+            found.append(self.compared(deep.where("few AND is_low"), deep, linked))
+            found.append(self.compared(deep.where("few"), deep.where("is_low"), linked))
+            on = deep.where("room > 0").select("node", "u", "at")
+            level += 1
+            entries = self.entries(on.join(able, "node"), level)
+
+    def compared(self, x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+        at = (F.col("x.place") == F.col("y.place")) & (F.col("x.u") == F.col("y.u")) & more & self.near("x", "y")
+        return materialise(x.alias("x").join(y.alias("y"), at).select(*_pair("x", "y")), "compared-pairs")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """Written table of the pairs that reach the threshold, by their whole differences."""
@@ -344,13 +380,15 @@ class _Neighbourhoods:
     def links(self) -> DataFrame:
         """The links (a, b) that are found."""
         found, labels = self.centre_links()
-        entries = self.entries(labels)
+        able = self.able(labels)
+        entries = self.entries(able.withColumns({"u": F.lit(0).cast("long"), "at": F.lit(0)}), 1)
         linked = self.exact(self.hub_pairs(entries))
         found = found.unionByName(linked.select("a", "b"))
         # a component takes the least label beside it
         both = linked.select(F.col("ca").alias("component"), F.col("cb").alias("label")).unionByName(linked.select(F.col("cb").alias("component"), F.col("ca").alias("label")))
         labels = materialise(both.groupBy("component").agg(F.min("label").alias("label")).select("component", F.least("label", "component").alias("label")), "hub-labels")
-        linked = self.exact(self.rest_pairs(materialise(_relabelled(entries, labels), "labelled-entries")))
+        entries, able = materialise(_relabelled(entries, labels), "labelled-entries"), materialise(_relabelled(able, labels), "labelled-members")
+        linked = self.exact(reduce(DataFrame.unionByName, self.rest_pairs(entries, able)))
         return found.unionByName(linked.select("a", "b"))
 
 
