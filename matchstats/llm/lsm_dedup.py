@@ -174,9 +174,10 @@ def _added(entries: DataFrame) -> DataFrame:
 def _matched(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows (digest, ...) with keep_id and group_size of a written table of entries, null without one. Hot digests, of which there are few, are looked up in a broadcast join."""
     hot = entries.where(F.col("group_size") > HOT_ROWS)
-    if hot.isEmpty():
+    n = hot.count()
+    if not n:
         return joined(rows, entries, ["digest"], "left")
-    d = rows.join(F.broadcast(hot), "digest", "left")
+    d = joined(rows, hot, ["digest"], "left", n)
     cool = materialise(entries.where(F.col("group_size") <= HOT_ROWS), "digest-cool")
     rest = joined(d.where("group_size IS NULL").select(*rows.columns), cool, ["digest"], "left")
     return d.where("group_size IS NOT NULL").unionByName(rest)
