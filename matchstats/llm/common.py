@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise, new_path  # noqa: F401  operators take them from here
@@ -85,6 +85,16 @@ def hash_sample(df: DataFrame, key: Column, expected: int, total: int, seed: int
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * expected / total))
 
 
+def first_by_hash(df: DataFrame, keys: list[str], within: list[str], most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of each group, by a hash of ``keys``: a bound that also holds where rows repeat."""
+    if not within:
+        some = df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(most)
+        return some.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = fresh("place", df)
+    w = Window.partitionBy(*within).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return df.withColumn(at, F.row_number().over(w)).where(F.col(at) <= most).drop(at)
+
+
 # ---- word hashes over Arrow string buffers ---------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, PIECE_BYTES, held_out, joined, materialise, python_workers
+from .common import _IS_SPACE, PIECE_BYTES, first_by_hash, held_out, joined, materialise, python_workers
 
 CORE, CONTEXT, STEP = 224, 16, 32
 TRAIN_DOCS, HIDDEN, EPOCHS, BATCH = 100, 8, 4, 64
@@ -250,15 +250,17 @@ def pooled(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 5) -> ByteGRU | None:
-    """A network trained on a bounded sample of the labelled rows outside the held-out fold; None without any.
+    """A network trained on a bounded sample of the labelled rows outside the held-out fold (``train_docs`` of each language in expectation, twice as many at most); None without any.
 
     Every language with a labelled row is in it.
     """
     labelled = docs.select(docs["doc_id"], docs["text"], docs["lang"].alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = materialise(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "language-rows")
-    # a language with few rows gives all of them
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30) * F.col("rows") < train_docs
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30))
+    counts = materialise(labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.min(place).alias("least")), "language-rows")
+    # a language with few rows gives all of them, and each its first row, whatever repeats
+    drawn = (place / (1 << 30) * F.col("rows") < train_docs) | (place == F.col("least"))
     sample = joined(labelled, counts, ["lang"], "inner").where(drawn | (F.col("rows") <= train_docs))
+    sample = first_by_hash(sample, ["doc_id", "text"], ["lang"], 2 * train_docs, seed)  # rows may repeat
     rows = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())  # the same order however the rows arrive
     languages = sorted({lang for _, lang in rows})
     if not languages:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, hash_sample, held_out, joined, materialise, python_workers, texts_of, word_hashes, word_spans
+from .common import PIECE_BYTES, first_by_hash, hash_sample, held_out, joined, materialise, python_workers, texts_of, word_hashes, word_spans
 
 POSITIVES, UNLABELLED = 6000, 12000
 PAIRS = 64
@@ -193,9 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     good = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = materialise(hash_sample(good, F.col("doc_id"), positives, good.count(), seed), "positives")
-    p = _with_features(joined(own, good, ["doc_id"], "left_semi"))
+    keys = ["doc_id", "text"]  # rows may share one id, or repeat
+    p = _with_features(first_by_hash(joined(own, good, ["doc_id"], "left_semi"), keys, [], 2 * positives, seed))
     web = own.where(~held_out(F.col("doc_id")))
-    u = _with_features(hash_sample(web, F.col("doc_id"), unlabelled, docs.select("doc_id").count() * 2 // 3, seed + 1))
+    web = hash_sample(web, F.struct(*keys), unlabelled, docs.select("doc_id").count() * 2 // 3, seed + 1)
+    u = _with_features(first_by_hash(web, keys, [], 2 * unlabelled, seed + 1))
     if not len(p) or not len(u):
         return None
     return non_negative_pu(p, u, estimated_prior(p, u))

@@ -210,3 +210,58 @@ def test_sql_of_odd_hosts(spark, tmp_path):
     want = sorted(con.execute(host_reputation.ORACLE).fetchall())
     got = sorted(tuple(r) for r in host_reputation.op1(spark, str(tmp_path)).collect())
     assert got == want and len({r[4] for r in got}) == 2
+
+
+# ---- samples for fitting, large rates, empty tables
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    """A language whose rows have no id is learned; one id on most rows does not draw them all."""
+    from matchstats.llm import language_gru
+
+    one = docs(spark, [f"der die und {k} das" for k in range(300)], lang="xx").withColumn("doc_id", F.lit(None).cast("long"))
+    two = docs(spark, [f"the of and {k}" for k in range(150)], ids=[3 * k + 1 for k in range(150)], lang="en")
+    hot = docs(spark, ["same text"], lang="hot").withColumn("doc_id", F.lit(12).cast("long")).join(spark.range(5000).select()).select(*one.columns)
+    model, seen = None, []
+    train = language_gru.ByteGRU.train
+    language_gru.ByteGRU.train = lambda self, texts, labels: seen.extend(labels.tolist())
+    try:
+        model = language_gru.fit(one.unionByName(two).unionByName(hot), train_docs=40)
+    finally:
+        language_gru.ByteGRU.train = train
+    assert model.languages == ["en", "hot", "xx"]
+    counts = Counter(model.languages[k] for k in seen)
+    assert 10 < counts["xx"] <= 80 and 10 < counts["en"] <= 80 and counts["hot"] <= 80
+
+
+def test_classifier_samples_are_bounded(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(pu_quality, "non_negative_pu", lambda p, u, prior: sizes.append((len(p), len(u))))
+    monkeypatch.setattr(pu_quality, "estimated_prior", lambda p, u: 0.5)
+    d = docs(spark, ["same"]).withColumn("doc_id", F.lit(12).cast("long")).join(spark.range(3000).select()).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(12, 1, 0)], "doc_id long, quality int, toxic int")
+    pu_quality.fit(d, labels, positives=50, unlabelled=70)
+    assert not sizes or (sizes[0][0] <= 100 and sizes[0][1] <= 140)
+
+
+def test_draws_at_large_rates(spark):
+    """The search gives the place of a number in the whole distribution, at any rate."""
+    from matchstats.llm import poisson_mix
+
+    us = [0.0, 2.0**-52, 2.0**-51, 1e-9, 0.1, 0.5, 0.75, 0.999999, 1 - 2.0**-40, 1 - 2.0**-52]
+    for rate in (0.0, 0.3, 7.0, 900.0, 100_000.0):
+        cdf = poisson_mix.with_cdf(spark.createDataFrame([("a", rate)], "source string, rate double"))
+        d = poisson_mix.searchable(cdf).select(F.struct("cdf", "skipped", "zeros", "width", "coarse").alias("r")).withColumn("u", F.explode(F.array(*map(F.lit, us))))
+        full = cdf.first()["cdf"]
+        assert [r.x for r in d.select(poisson_mix.drawn(F.col("u"), F.col("r")).alias("x")).collect()] == [sum(c <= u for c in full) for u in us]
+        assert d.select(F.size("r.cdf").alias("n")).first()["n"] <= 18 * math.sqrt(rate) + 40
+
+
+def test_large_rate_in_the_mixture(spark):
+    """A source of one row that is wanted 3,000 times."""
+    from matchstats.llm import poisson_mix
+
+    d = docs(spark, ["a", "b"], source="big").unionByName(docs(spark, ["c"], ids=[7], source="small"))
+    got = poisson_mix.mixed_sources(d, weights={"small": 1.0, "big": 0.001}, rows=3000).groupBy("doc_id").count().collect()
+    n = {r.doc_id: r["count"] for r in got}
+    assert 2700 < n[7] < 3300 and sum(n.values()) - n[7] < 30

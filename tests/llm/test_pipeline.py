@@ -62,3 +62,10 @@ def best(model, text):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and out.where("NOT round_trip").count() == 0
+
+
+def test_stages_on_an_empty_table(spark):
+    d = extended(docs(spark, []))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, "/root/testdata/sf0.001")
+        assert out.collect() == [] and (name == "encode" or out.columns == d.columns)
