@@ -56,7 +56,7 @@ LONG_LIST = 64
 #: Elements that more than one in OFTEN members have come last in every member's order; so many of all places may be broadcast (8 bytes each).
 OFTEN, OFTEN_SHINGLES = 32, 1_000_000
 #: A list goes on with one more element where comparing its members is so many times dearer than that, and never below so many members.
-DEARER, SHORT_LIST = 1, 16
+DEARER, SHORT_LIST = 8, 16
 _SIG = ["s0", "s1", "s2", "s3"]
 #: Parity signature of a member's difference from the majority set.
 _PAR = [f"p{i}" for i in range(16)]
@@ -316,13 +316,13 @@ class _Neighbourhoods:
     def entries(self, rows: DataFrame, level: int) -> DataFrame:
         """Written table of lists by ``level`` shared elements: place, u (hash of them), at (place of the last one in the member's order), room (elements it may go on with), and the member's columns.
 
-        ``rows`` has the members' columns, and u and at of the level before (0 at first). Of ``o`` shared elements, the first ``level`` are among the first |D| - o + level of both partners.
+        ``rows`` has the members' columns, and u, parent (both the list before) and at of the level before (0 at first). Of ``o`` shared elements, the first ``level`` are among the first |D| - o + level of both partners.
         """
         most = lambda t: F.least(F.size("us"), F.size("us") - F.col("o") + t)
         each = rows.select(*rows.columns, F.posexplode(F.slice("us", F.col("at") + 1, F.greatest(F.lit(0), most(level) - F.col("at")))).alias("k", "element"))
         each = each.withColumn("u", F.col("element") if level == 1 else F.xxhash64("u", "element")).withColumn("at", F.col("at") + F.col("k") + 1)
         room = F.greatest(F.lit(0), most(level + 1) - F.col("at"))
-        return materialise(each.select("place", "u", "at", room.alias("room"), "node", "component", "n", "excess", *_PAR), "element-lists")
+        return materialise(each.select("place", "u", "parent", "at", room.alias("room"), "node", "component", "n", "excess", *_PAR), "element-lists")
 
     def near(self, a: str, b: str) -> Column:
         """Different components, and the signatures do not show that the two differ in too many shingles."""
@@ -337,34 +337,45 @@ class _Neighbourhoods:
         at = (F.col("x.place") == F.col("h.place")) & (F.col("x.u") == F.col("h.u")) & self.near("x", "h")
         return entries.alias("x").join(hubs.alias("h"), at).select(*_pair("x", "h"))
 
+    def planned(self, entries: DataFrame, most: DataFrame, level: int) -> DataFrame:
+        """Written table of the rows of lists that are to be compared: with few (outside of the largest component), cost (comparisons of the list), is_low, deeper (whether it may be cheaper to divide the list)."""
+        d = joined(entries, most, ["place"], "inner").withColumn("few", F.col("component") != F.col("largest"))
+        plan = d.groupBy("place", "u").agg(F.count_if("few").alias("f"), F.count("*").alias("c"), F.sum("room").cast("long").alias("growth"), F.min("component").alias("low"), F.max("component").alias("high"))
+        plan = plan.where("f > 0 AND low < high").withColumn("cost", F.col("f") * F.col("c"))
+        plan = plan.withColumn("deeper", (F.col("c") > SHORT_LIST) & (F.col("cost") > DEARER * F.col("growth")))
+        d = joined(d, materialise(plan.select("place", "u", "cost", "deeper"), "list-plans"), ["place", "u"], "inner")
+        return materialise(d.withColumn("is_low", F.col("excess") <= self.unit * level), "planned-lists")
+
     def rest_pairs(self, entries: DataFrame, able: DataFrame) -> list[DataFrame]:
         """Entries outside the largest component of their place with others of their list, level by level.
 
-        A list is compared if that is cheaper than to let its members go on with one more shared element each; else only the pairs
-        that are linked by what they share already are looked for, and the others meet again one level deeper.
-        So comparisons stay within a multiple of the rows, however many members share an element.
+        Where a list is long, its members are put into lists by one more shared element each. If these take half of the comparisons at
+        most, they stand for it: only the pairs that what they share links already are looked for in it, and the
+        others meet again one level deeper. Else it is compared as it is. So no level takes more than half of the
+        comparisons of the one before, and has few rows beside them.
         """
         most = entries.groupBy("place", "component").agg(F.count("*").alias("c")).groupBy("place").agg(F.max_by("component", "c").alias("largest"))
         most, level, found = materialise(most, "largest-components"), 1, []
+        once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
+        d = self.planned(entries, most, level)
         while True:
-            d = joined(entries, most, ["place"], "inner").withColumn("few", F.col("component") != F.col("largest"))
-            low = F.col("excess") <= self.unit * level
-            plan = d.groupBy("place", "u").agg(F.count_if("few").alias("f"), F.count("*").alias("c"), F.count_if(low).alias("low"), F.sum("room").alias("growth"), F.count_distinct("component").alias("kinds"))
-            plan = plan.where("f > 0 AND kinds > 1").withColumn("deeper", (F.col("c") > SHORT_LIST) & (F.col("f") * F.col("c") > DEARER * F.col("growth")))
-            d = joined(d, materialise(plan.select("place", "u", "f", "c", "low", "deeper"), "list-plans"), ["place", "u"], "inner")
-            d = materialise(d.withColumn("is_low", low).drop("f", "c", "low"), "planned-lists")
-            flat, deep = d.where(~F.col("deeper")), d.where("deeper")
-            once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-            found.append(self.compared(flat.where("few"), flat, once))
+            flat, deep = d.where("NOT deeper"), d.where("deeper")
             if deep.isEmpty():
+                found.append(self.compared(flat.where("few"), flat, once))
                 return found
+            on = deep.where("room > 0").select("node", "u", "at", F.col("u").alias("parent"))
+            below = self.planned(self.entries(on.join(able, "node"), level + 1), most, level + 1)
+            cost = below.groupBy("place", "u").agg(F.first("parent").alias("parent"), F.first("cost").alias("cost")).groupBy("place", "parent").agg(F.sum("cost").alias("after"))
+            lists = deep.select("place", F.col("u").alias("parent"), "cost").distinct().join(cost, ["place", "parent"], "left")
+            worth = materialise(lists.select("place", "parent", (2 * F.coalesce("after", F.lit(0)) <= F.col("cost")).alias("worth")), "divided-lists")
+            deep = materialise(joined(deep, worth.withColumnRenamed("parent", "u"), ["place", "u"], "inner"), "deep-lists")
+            flat = flat.unionByName(deep.where("NOT worth").drop("worth"))
+            found.append(self.compared(flat.where("few"), flat, once))
             # as many shared elements as this pair needs: one of the two has half of the excess at most
-            linked = F.col("x.excess") + F.col("y.excess") <= 2 * self.unit * level
+            deep, linked = deep.where("worth"), F.col("x.excess") + F.col("y.excess") <= 2 * self.unit * level
             found.append(self.compared(deep.where("few AND is_low"), deep, linked))
             found.append(self.compared(deep.where("few"), deep.where("is_low"), linked))
-            on = deep.where("room > 0").select("node", "u", "at")
-            level += 1
-            entries = self.entries(on.join(able, "node"), level)
+            d, level = joined(below, worth.where("worth").drop("worth"), ["place", "parent"], "left_semi"), level + 1
 
     def compared(self, x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
         at = (F.col("x.place") == F.col("y.place")) & (F.col("x.u") == F.col("y.u")) & more & self.near("x", "y")
@@ -381,7 +392,7 @@ class _Neighbourhoods:
         """The links (a, b) that are found."""
         found, labels = self.centre_links()
         able = self.able(labels)
-        entries = self.entries(able.withColumns({"u": F.lit(0).cast("long"), "at": F.lit(0)}), 1)
+        entries = self.entries(able.withColumns({"u": F.lit(0).cast("long"), "parent": F.lit(0).cast("long"), "at": F.lit(0)}), 1)
         linked = self.exact(self.hub_pairs(entries))
         found = found.unionByName(linked.select("a", "b"))
         # a component takes the least label beside it

@@ -49,28 +49,25 @@ def written_pairs(monkeypatch):
     return found
 
 
-def comparisons(monkeypatch):
-    """Pairs of rows that meet inside the joins of step 5, level by level."""
-    found, write = [], near_dedup.materialise
+def test_lists_are_divided(spark, monkeypatch):
+    """Members that share an element meet in lists by more shared elements where that halves the comparisons."""
+    levels, divided, write = [], [], near_dedup.materialise
 
     def counting(df, name):
         out = write(df, name)
         if name == "list-plans":
-            each = F.when(F.col("deeper"), 2 * F.col("low") * F.col("c")).otherwise(F.col("f") * F.col("c"))
-            found.append(out.agg(F.sum(each)).first()[0] or 0)
+            levels.append(out.agg(F.sum("cost")).first()[0] or 0)
+        if name == "divided-lists":
+            divided.append(out.where("worth").count())
         return out
 
     monkeypatch.setattr(near_dedup, "materialise", counting)
-    return found
-
-
-def test_lists_are_divided(spark, monkeypatch):
-    """Members that share an element meet in lists by more shared elements: a fourth of the comparisons of all members of each list, and deeper levels."""
-    met, texts = comparisons(monkeypatch), group(1200, 118, 5, 11)
+    monkeypatch.setattr(near_dedup, "DEARER", 2)
+    texts = group(1200, 118, 5, 11)
     low, _ = components_of(texts, 2)
     got = near_dedup.near_duplicates(docs(spark, texts), size=2).collect()
     assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == low
-    assert len(met) >= 3 and sum(met) <= 150 * len(texts)  # 488 a text without division
+    assert len(levels) >= 2 and divided[0] > 10 and levels[1] < levels[0] / 2
 
 
 @pytest.mark.parametrize("size,words,sizes", [(2, 118, (300, 1200)), (5, 300, (600,))])
