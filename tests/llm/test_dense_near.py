@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_ops import docs, prose
 
 from matchstats.llm import near_dedup
@@ -49,27 +48,6 @@ def written_pairs(monkeypatch):
     return found
 
 
-def test_lists_are_divided(spark, monkeypatch):
-    """Members that share an element meet in lists by more shared elements where that halves the comparisons."""
-    levels, divided, write = [], [], near_dedup.materialise
-
-    def counting(df, name):
-        out = write(df, name)
-        if name == "list-plans":
-            levels.append(out.agg(F.sum("cost")).first()[0] or 0)
-        if name == "divided-lists":
-            divided.append(out.where("worth").count())
-        return out
-
-    monkeypatch.setattr(near_dedup, "materialise", counting)
-    monkeypatch.setattr(near_dedup, "DEARER", 2)
-    texts = group(1200, 118, 5, 11)
-    low, _ = components_of(texts, 2)
-    got = near_dedup.near_duplicates(docs(spark, texts), size=2).collect()
-    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == low
-    assert len(levels) >= 2 and divided[0] > 10 and levels[1] < levels[0] / 2
-
-
 @pytest.mark.parametrize("size,words,sizes", [(2, 118, (300, 1200)), (5, 300, (600,))])
 def test_candidates_grow_with_the_group(spark, monkeypatch, size, words, sizes):
     pairs, each = written_pairs(monkeypatch), []
