@@ -1,12 +1,15 @@
 """Micro-batch ingest as one transaction, with incremental state, cells kept up by signed deltas, and rejected rows.
 
-A micro-batch stores what is new: battles, the state of players and characters that these alone give (a delta), the rows
-that break a rule, and counts. Each is a folder of its own; a commit record, written last, makes them all
+A micro-batch stores what is new: battles and their ids, the state of players and characters and the matchup counts that
+these alone give (deltas), the rows that break a rule, and counts. Each is a folder of its own; a commit record, written last, makes them all
 visible at once (see ``ledger``). A batch is known by its stream and number, so one that is delivered again changes
 nothing, and neither a new checkpoint nor a second query replaces what another one stored. State merges are associative:
 the state is the last snapshot merged with the deltas after it. ``compact`` folds these into a new snapshot, and many small
 folders of battles into one; ``vacuum`` removes what is not named any more. No battle is read again for the state.
 
+Ids are looked up in a table of their own, sorted by digest: a batch reads the pages that its digests fall into, so what
+it reads does not grow with what is stored, but for the number of sorted folders, which grows with its logarithm.
+
 Cells follow by signed deltas: the players of the batches since the last refresh are taken out as they were and put in as
 they are now, so a player whose region, rank or main character moves leaves the cells of every version right, and no
 other player is looked at. Which batches have their cells is in the records too, so it is not lost with the driver.
@@ -15,6 +18,8 @@ other player is looked at. Which batches have their cells is in the records too,
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cells, ingest, state
+from ..operators import players as views
 from ..schema import name_of
 from ..storage import BROADCAST_ROWS
 from .ledger import Conflict, Ledger, View
@@ -32,6 +38,12 @@ from .ledger import Conflict, Ledger, View
 COOLDOWN = 120
 #: Files of a snapshot lie in so many parts by player, so that a few players are looked up in a few of them.
 PARTS = 64
+#: A batch of at most this many ids is looked up by their digests; a larger one is joined with all ids.
+LOOKUP = 5_000
+#: Digests in one pushed-down filter: it is a chain of comparisons, and a long one would overflow the reader's stack.
+FILTER = 500
+#: Rows of a page of ids, the least that a lookup reads for a digest.
+PAGE = 1_000
 _DAY = 86400
 
 
@@ -73,6 +85,7 @@ def total_order(batch: DataFrame) -> list[Column]:
     return [F.col("battle_at"), F.xxhash64(*batch.columns)]
 
 
+MATCHUP_SIDE = ["player_id", "character_id", "opp_character_id", "is_win"]
 #: Columns that a battle has to have.
 REQUIRED = ["battle_id", "battle_at", "game_version", "player1_id", "player2_id", "player1_character_id", "player2_character_id"]
 
@@ -95,27 +108,63 @@ def _near(view: View, days: tuple[int, int] | None) -> list[str]:
     return [f for f, _, low, high in view.battles if days is None or (low <= days[1] and high >= days[0])]
 
 
+def _digest() -> Column:
+    return F.xxhash64("battle_id")
+
+
+def _write_ids(ids: DataFrame, path: str) -> None:
+    """digest, battle_id in the order of digests over all files, in small pages: a digest lies in one page of one file."""
+    d = ids.repartitionByRange("digest").sortWithinPartitions("digest")
+    d.write.option("parquet.page.row.count.limit", PAGE).parquet(path)
+
+
+@contextmanager
+def _exact_filters(spark: SparkSession) -> Iterator[None]:
+    """Lists of up to FILTER values reach the reader value by value, not as the range from the least to the greatest."""
+    name = "spark.sql.parquet.pushdown.inFilterThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(FILTER))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored_ids(spark: SparkSession, tables: Tables, view: View, wanted: list[int] | None = None) -> DataFrame | None:
+    """digest and battle_id of all stored battles, or of those with one of some digests. None if not all battles have their ids listed, or there are none."""
+    if not view.ids or sum(i[2] for i in view.ids) != view.ranked + view.unranked:
+        return None
+    d = tables.read(spark, [i[0] for i in view.ids])
+    if wanted is None:
+        return d
+    runs = [F.col("digest").isin(wanted[k : k + FILTER]) for k in range(0, len(wanted), FILTER)]
+    return d.where(reduce(lambda x, y: x | y, runs, F.lit(False)))
+
+
 def _new_battles(good: DataFrame, tables: Tables, view: View, order: list | None, horizon: int | None) -> DataFrame:
     """The battles of a batch that are not stored: ids are looked up among all stored ones, or in the folders and days within ``horizon`` seconds of the batch."""
     spark = good.sparkSession
-    fresh, days = ingest.dedupe_first(good, ["battle_id"], order or total_order(good)), None
+    fresh, stored = ingest.dedupe_first(good, ["battle_id"], order or total_order(good)), None
     if horizon is not None:
         low, high = good.agg(F.min("battle_at"), F.max("battle_at")).first()
         if low is None:
             return fresh
         days = (low - horizon) // _DAY, (high + horizon) // _DAY
-    stored = tables.read(spark, _near(view, days))
-    if stored is None:
-        return fresh
-    if days is not None:
-        stored = stored.where(F.col("day").between(*days)).where(F.col("battle_at").between(low - horizon, high + horizon))
-    return fresh.join(stored.select("battle_id"), "battle_id", "left_anti")
+        stored = tables.read(spark, _near(view, days))
+        if stored is not None:
+            stored = stored.where(F.col("day").between(*days)).where(F.col("battle_at").between(low - horizon, high + horizon))
+    elif view.ids:
+        wanted = [r[0] for r in good.select(_digest().alias("digest")).distinct().limit(LOOKUP + 1).collect()]
+        stored = stored_ids(spark, tables, view, sorted(wanted) if len(wanted) <= LOOKUP else None)
+    if stored is None and horizon is None:
+        stored = tables.read(spark, [b[0] for b in view.battles])
+    return fresh if stored is None else fresh.join(stored.select("battle_id"), "battle_id", "left_anti")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list | None = None, horizon: int | None = None, stream: str = "") -> None:
     """Store what is new in a batch, its delta and counts, and the rows that break a rule, in one commit. A batch of a stream that is stored already changes nothing.
 
-    Ids are looked up among all stored ones. Where a repeated battle is known to keep its time, ``horizon`` (seconds)
+    Ids are looked up among all stored ones, by digest. Where a repeated battle is known to keep its time, ``horizon`` (seconds)
     restricts that to stored battles so close to the times of the batch: only folders of these days are read.
     """
     ledger = tables.ledger(batch.sparkSession)
@@ -126,7 +175,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, tables: Tables, order: list |
             if view.has(stream, batch_id):
                 return
             try:
-                ledger.commit(_written(batch, batch_id, tables, view, order, horizon, stream), view.number, {"ingest"})
+                with _exact_filters(batch.sparkSession):
+                    record = _written(batch, batch_id, tables, view, order, horizon, stream)
+                ledger.commit(record, view.number, {"ingest"})
                 return
             except Conflict:  # another stream stored a batch meanwhile: it may hold the same battles
                 continue
@@ -151,9 +202,12 @@ def _written(batch: DataFrame, batch_id: int, tables: Tables, view: View, order:
     n = now.agg(F.count_if(is_ranked).alias("ranked"), F.count_if(~is_ranked).alias("unranked"), F.min("day").alias("low"), F.max("day").alias("high"), F.collect_set(F.when(is_ranked, F.col("game_version"))).alias("versions")).first()
     if n["low"] is not None:
         record |= {"battles": folder, "days": [n["low"], n["high"]], "ranked": n["ranked"], "unranked": n["unranked"], "versions": sorted(n["versions"])}
+        record["ids"] = ledger.new_folder("ids")
+        _write_ids(now.select(_digest().alias("digest"), "battle_id"), f"{tables.root}/{record['ids']}")
     if n["ranked"]:
         delta = state.character_state(ingest.to_sides(ingest.ranked(now), state.STATE_SIDE))
         record["delta"], _ = write(delta, "deltas")
+        record["matchups"], _ = write(views.matchup_state(ingest.to_sides(ingest.ranked(now), MATCHUP_SIDE)), "matchups")
     folder, bad = write(batch.where(failed).withColumn("failed", failed_rules(batch)), "rejects")
     rejected = {r["rule"]: r["n"] for r in bad.select(F.explode("failed").alias("rule")).groupBy("rule").agg(F.count("*").alias("n")).collect()}  # a few rules
     if rejected:
@@ -191,8 +245,47 @@ def current_state(spark: SparkSession, tables: Tables, view: View | None = None,
     return state.merge_states(reduce(DataFrame.unionByName, parts)) if parts else None
 
 
+def current_matchups(spark: SparkSession, tables: Tables, view: View | None = None, players: Players | None = None) -> DataFrame | None:
+    """Matchup counts of all stored ranked battles, or of some players: the snapshot merged with the deltas after it. No battle is read."""
+    view, of = view or tables.view(spark), players.of if players else lambda d: d
+    parts = []
+    if view.matchup_state:
+        parts.append(of(spark.read.parquet(f"{tables.root}/{view.matchup_state}")).drop("part"))
+    deltas = tables.read(spark, [f for f, _ in view.matchups])
+    if deltas is not None:
+        parts.append(of(deltas))
+    return views.merge_matchups(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def some_players(ids: DataFrame) -> Players:
+    """The players of ``ids`` (player_id), for ``current_state`` and ``current_matchups``."""
+    ids = ids.select("player_id").distinct()
+    by_part = ids.groupBy(_part(F.col("player_id")).alias("part")).agg(F.count("*").alias("n")).collect()  # PARTS rows at most
+    return Players(ids, sum(r["n"] for r in by_part) <= BROADCAST_ROWS, sorted(r["part"] for r in by_part))
+
+
+def _folding(ids: list[list]) -> list[list]:
+    """The folders of ids to fold into one: those of single batches, and folded ones up to twice as large as what is folded so far.
+
+    So each id is folded a logarithmic number of times, and as many folders are left.
+    """
+    out = [i for i in ids if i[1]]
+    rows = sum(i[2] for i in out)
+    for one in sorted((i for i in ids if not i[1]), key=lambda i: i[2]):
+        if not out or one[2] > 2 * rows:
+            break
+        out.append(one)
+        rows += one[2]
+    return out if len(out) > 1 else []
+
+
+def _by_player(d: DataFrame, path: str) -> None:
+    """A snapshot: rows in parts by player."""
+    d.withColumn("part", _part(F.col("player_id"))).repartition("part").sortWithinPartitions("part", "player_id").write.partitionBy("part").parquet(path)
+
+
 def compact(spark: SparkSession, tables: Tables) -> None:
-    """Fold the deltas into a new snapshot, and the battles of single batches into one folder. Batches may come in meanwhile: they are merged as deltas after it.
+    """Fold the deltas into new snapshots, and the battles and ids of single batches into one folder. Batches may come in meanwhile: they are merged as deltas after it.
 
     Deltas that have no cells yet are needed for them one by one, and stay.
     """
@@ -202,8 +295,7 @@ def compact(spark: SparkSession, tables: Tables) -> None:
     if now is None:
         return
     folder = ledger.new_folder("snapshots")
-    d = now.withColumn("part", _part(F.col("player_id")))
-    d.repartition("part").sortWithinPartitions("part", "player_id").write.partitionBy("part").parquet(f"{tables.root}/{folder}")
+    _by_player(now, f"{tables.root}/{folder}")
     record = {"kind": "compact", "state": folder, "upto": upto, "battles": None, "replaced": []}
     single = [b for b in view.battles if b[1]]
     if len(single) > 1:
@@ -211,6 +303,14 @@ def compact(spark: SparkSession, tables: Tables) -> None:
         rows = tables.read(spark, record["replaced"])
         rows.repartitionByRange("day", "battle_id").sortWithinPartitions("day", "battle_id").write.parquet(f"{tables.root}/{battles}")
         record["battles"] = [battles, 0, min(b[2] for b in single), max(b[3] for b in single)]
+    if view.matchups:
+        record |= {"matchup_state": ledger.new_folder("snapshots"), "matchups_upto": view.number}
+        _by_player(current_matchups(spark, tables, view), f"{tables.root}/{record['matchup_state']}")
+    folded = _folding(view.ids)
+    if folded:
+        record["replaced_ids"], ids = [i[0] for i in folded], ledger.new_folder("ids")
+        _write_ids(tables.read(spark, record["replaced_ids"]), f"{tables.root}/{ids}")
+        record["ids"] = [ids, 0, sum(i[2] for i in folded)]
     ledger.commit(record, view.number, {"compact"})
     ledger.store_view()
 
@@ -248,9 +348,7 @@ def pending_versions(spark: SparkSession, tables: Tables, view: View | None = No
 
 def moved_players(spark: SparkSession, tables: Tables, view: View) -> Players:
     """Players of the batches since the last refresh."""
-    ids = tables.read(spark, [f for f, number in view.deltas if number > view.fresh]).select("player_id").distinct()
-    by_part = ids.groupBy(_part(F.col("player_id")).alias("part")).agg(F.count("*").alias("n")).collect()  # PARTS rows at most
-    return Players(ids, sum(r["n"] for r in by_part) <= BROADCAST_ROWS, sorted(r["part"] for r in by_part))
+    return some_players(tables.read(spark, [f for f, number in view.deltas if number > view.fresh]))
 
 
 def cell_deltas(spark: SparkSession, tables: Tables, view: View) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 from test_rules import battle, rows
 
-from matchstats.operators import cells, ingest, state
+from matchstats.operators import cells, ingest, players, state
 from matchstats.sources import replays
 from matchstats.streaming import ingest as stream
 
@@ -58,6 +58,9 @@ def check(spark, tables):
     own = ("player_id", "polaris_id", "name", "power", "latest_battle", "region_id")
     assert rows(state.players(state.merge_players(now)), *own) == rows(people, *own)
     assert rows(state.character_stats(now), *STATE) == rows(stats, *STATE)
+    counts = players.matchup_state(ingest.to_sides(ingest.ranked(stored), stream.MATCHUP_SIDE))
+    assert rows(stream.current_matchups(spark, tables), *counts.columns) == rows(counts, *counts.columns)
+    assert rows(stream.stored_ids(spark, tables, tables.view(spark)), "battle_id") == rows(stored, "battle_id")
     total = ("total_ranked_replays", "total_unranked_replays", "total_players")
     assert rows(stream.summary(spark, tables), *total) == rows(state.summary_counters(stored, people), *total)
     want = cells.build_cells(cells.stats_with_region(stats, people))

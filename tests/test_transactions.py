@@ -48,7 +48,7 @@ class Crash(Exception):
     pass
 
 
-@pytest.mark.parametrize("step", range(5))
+@pytest.mark.parametrize("step", range(7))
 def test_a_crash_between_writes_leaves_nothing(spark, tmp_path, monkeypatch, step):
     """A batch that dies at any write is not there at all; done again, it is there once."""
     tables = stream.Tables(str(tmp_path / "tables"))
@@ -67,10 +67,10 @@ def test_a_crash_between_writes_leaves_nothing(spark, tmp_path, monkeypatch, ste
 
     batch = decoded(spark, [record("b", 110, p1=9), record("c", 90, battle_type=9)])
     with monkeypatch.context() as m:
-        # folders of battles, state and rejected rows; the record itself, before and after it is there
+        # folders of battles, ids, state, matchups and rejected rows; the record itself, before and after it is there
         m.setattr(ledger.Ledger, "new_folder", crashing(ledger.Ledger.new_folder))
-        m.setattr(ledger.Ledger, "commit", crashing(ledger.Ledger.commit) if step == 3 else ledger.Ledger.commit)
-        if step == 4:
+        m.setattr(ledger.Ledger, "commit", crashing(ledger.Ledger.commit) if step == 5 else ledger.Ledger.commit)
+        if step == 6:
             m.setattr(ledger.Ledger, "commit", lambda *a: (_ for _ in ()).throw(Crash))
         with pytest.raises(Crash):
             stream.ingest_batch(batch, 1, tables)
