@@ -254,18 +254,29 @@ class _Neighbourhoods:
         """The rows dealt out evenly before their arrays are exploded: the members of a place, or its long ones, may lie together."""
         return rows.repartition(self.parts)
 
-    def counted(self, rows: DataFrame, column: str, share: int) -> DataFrame:
-        """Written table of place and ``often``: the values of array ``column`` that more than one in ``share`` of the place's rows have, in order of how many.
-
-        An array has at most ``share`` times the mean length of the place's.
-        """
-        sizes = materialise(rows.groupBy("place").agg(F.count("*").alias("members")), "place-sizes")
-        each = self.dealt(rows.select("place", column)).select("place", F.explode(column).alias("u"))
+    def counted(self, sets: DataFrame) -> DataFrame:
+        """Written table of place, u, df, members: how many of the place's sets have a shingle, where more than one has it."""
+        sizes = materialise(sets.groupBy("place").agg(F.count("*").alias("members")), "place-sizes")
+        each = self.dealt(sets.select("place", "hashes")).select("place", F.explode("hashes").alias("u"))
         each = each.groupBy("place", "u").agg(F.count("*").alias("df")).where("df > 1")
-        each = joined(each, sizes, ["place"], "inner").where(share * F.col("df") > F.col("members"))
-        d = each.groupBy("place").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "u"))), lambda x: x["u"]).alias("often"))
+        return materialise(joined(each, sizes, ["place"], "inner"), "place-shingles")
+
+    def often(self, counts: DataFrame) -> DataFrame:
+        """Written table of place and ``often``: the elements in ``counts`` (place, u, df), the rarest first."""
+        d = counts.groupBy("place").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "u"))), lambda x: x["u"]).alias("often"))
         return materialise(d, "often-shingles")
 
+    def often_differing(self, able: DataFrame) -> DataFrame:
+        """``often`` of the elements that are in the differences of more than one in OFTEN as many members as the place has in ``able``.
+
+        Counted over all members of the place, which the counts of the sets tell: nothing is exploded again. Any one order of a
+        place's elements finds the same pairs; this one keeps the lists short. All arrays beside the members that are able have at most OFTEN times the elements of all differences.
+        """
+        sizes = materialise(able.groupBy("place").agg(F.count("*").alias("able")), "able-sizes")
+        most = 2 * F.col("df") > F.col("members")
+        d = self.counts.withColumn("df", F.when(most, F.col("members") - F.col("df")).otherwise(F.col("df"))).where("df > 1")
+        return self.often(joined(d, sizes, ["place"], "inner").where(OFTEN * F.col("df") > F.col("able")))
+
     def beside(self, rows: DataFrame, often: DataFrame) -> DataFrame:
         """``rows`` with the array of their place, broadcast if all are small."""
         size = often.agg(F.coalesce(F.sum(F.size("often")), F.lit(0))).first()[0]
@@ -273,8 +284,9 @@ class _Neighbourhoods:
         return d.withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
 
     def differing(self, sets: DataFrame) -> None:
-        """Written table ``self.members``: node, place, component, n, delta (difference from the majority set), excess."""
-        d = self.beside(sets, self.counted(sets, "hashes", 2))
+        """Written tables ``self.counts`` and ``self.members``: node, place, component, n, delta (difference from the majority set), excess."""
+        self.counts = self.counted(sets)
+        d = self.beside(sets, self.often(self.counts.where("2 * df > members")))
         d = d.withColumn("delta", F.concat(F.array_except("hashes", "often"), F.array_except("often", "hashes"))).withColumn("n", F.size("hashes"))
         d = d.withColumn("excess", (self.unit * F.size("delta") - self.free * F.col("n")).cast("long"))
         self.members = materialise(d.select("node", "place", "component", "n", "delta", "excess"), "place-members")
@@ -305,7 +317,7 @@ class _Neighbourhoods:
         by_size = F.ceil(F.size("delta") - F.col("n") * self.free / self.s.percent - 1e-9)
         prefix = F.size("delta") - F.greatest(F.lit(1), by_excess, by_size) + 1
         d = materialise(d.withColumn("prefix", prefix.cast("int")).where("prefix > 0").select("place", "node", "component", "n", "excess", "prefix", "delta"), "able-members")
-        d = self.beside(d, self.counted(d, "delta", OFTEN))
+        d = self.beside(d, self.often_differing(d))
         us = F.concat(F.sort_array(F.array_except("delta", "often")), F.array_intersect("often", "delta"))
         d = d.select("place", "node", "component", "n", "excess", F.slice(us, F.lit(1), F.col("prefix")).alias("us"), "delta")
         kinds = "place long, node long, component long, n int, excess long, us array<long>"

@@ -70,3 +70,29 @@ def test_group_of_links_and_strays(spark, monkeypatch):
     got = near_dedup.near_duplicates(docs(spark, texts), size=2).collect()
     assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == low
     assert sum(pairs) <= 40 * len(texts)
+
+
+def test_differences_are_counted_without_exploding_them(spark, monkeypatch):
+    """How often an element is in a difference follows from the counts of the sets; the order of elements stays the one by these counts."""
+    plans, often, write = [], [], near_dedup.materialise
+
+    def looking(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = write(df, name)
+        if name in ("able-members", "often-shingles"):
+            often.append(out)
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", looking)
+    texts = group(300, 118, 5, 13)
+    low, _ = components_of(texts, 2)
+    got = near_dedup.near_duplicates(docs(spark, texts), size=2).collect()
+    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in got)] == low
+    assert not [p for p in plans if "Generate explode(delta" in p]
+    _, able, found = often
+    able, found = able.collect(), {r.place: r.often for r in found.collect()}
+    for place in {r.place for r in able}:
+        own = [r.delta for r in able if r.place == place]
+        df = {u: sum(u in d for d in map(set, own)) for u in set().union(*own)}
+        every = {u for u, n in df.items() if n > 1 and near_dedup.OFTEN * n > len(own)}
+        assert every <= set(found[place]) and len(found[place]) <= near_dedup.OFTEN * sum(map(len, own))
