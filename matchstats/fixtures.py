@@ -9,6 +9,8 @@ from .operators.ingest import dedupe_first
 
 #: Tables that battles are derived from.
 TABLES = ["lineitem", "orders", "customer", "nation"]
+#: So many players at most are broadcast to the battles (about 100 bytes each): a shuffle for each side moves all battles.
+BROADCAST_PEOPLE = 1_000_000
 DEDUPE_ORDER = ["battle_at", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
@@ -20,26 +22,32 @@ def raw_battles(spark: SparkSession, sf_dir: str, first_only: bool = False) -> D
     """One battle a line item, with repeated battle_ids; ``batch_no`` says with which of four batches it arrives.
 
     With ``first_only``, the first line item of each battle_id alone, found before anything is joined to it but its order:
-    rows are dealt out by order for that join, and sorted while they are narrow.
+    rows are dealt out by order once, for that join and the sort, with what cannot be derived later and nothing else.
     """
     customers = table(spark, sf_dir, "customer")
     np = customers.agg(F.floor(F.count("*") / 10).cast("long")).scalar()
     people = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_custkey") < np)
     people = people.select(F.col("c_custkey").alias("p"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("language"), F.col("n_regionkey").cast("int").alias("region"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+    flag = F.col("l_returnflag")
+    winner = F.when(flag == "A", 1).when(flag == "R", 2).otherwise(1 + F.col("l_suppkey") % 2).cast("int").alias("winner")
+    day = F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", winner, day)
+    few = False
+    if first_only:
+        lines = lines.repartition("l_orderkey")
+        few = people.count() <= BROADCAST_PEOPLE
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     d = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    d = d.withColumns({"day": F.unix_date(F.to_date("l_shipdate")).cast("long"), "q": F.col("l_quantity").cast("int"), "k": part + 7 * supp + line, "y": F.year("l_shipdate"), "p1": F.col("o_custkey") % np})
-    d = d.withColumn("p2", (F.col("p1") + 1 + supp % (np - 1)) % np)
-    d = d.withColumn("battle_at", (F.col("day") * 86400 + (part * 37 + supp * 11 + F.col("q")) % 86400).cast("long"))
+    d = d.withColumn("battle_at", (F.col("day") * 86400 + (part * 37 + supp * 11 + F.col("l_quantity").cast("int")) % 86400).cast("long"))
     if first_only:
         d = dedupe_first(d, ["l_orderkey", "l_linenumber"], DEDUPE_ORDER)
-    winner = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(1 + supp % 2).cast("int")
-    d = d.withColumn("winner", winner)
+    d = d.withColumns({"q": F.col("l_quantity").cast("int"), "k": part + 7 * supp + line, "y": F.year(F.date_from_unix_date(F.col("day").cast("int"))), "p1": F.col("o_custkey") % np})
+    d = d.withColumn("p2", (F.col("p1") + 1 + supp % (np - 1)) % np)
     sides = {}
     for k in (1, 2):
         own = people.select(*(F.col(c).alias(f"{c}_{k}") for c in people.columns))
+        own = F.broadcast(own) if few else own
         d = d.join(own, F.col(f"p{k}") == F.col(f"p_{k}"), "left")
         p, code, change = F.col(f"p{k}"), part if k == 1 else F.col("k"), supp % 21 - 10
         rank = (p * 7) % 33 + (F.col("q") if k == 1 else F.col("q") + line) % 4 + (code % 12) % 3

@@ -1,16 +1,16 @@
 """The tables that statistics are answered from: battles without repeats, state, players, matchups, cells, search postings.
 
-They are derived from the star-schema tables of a folder in one pass over the line items, the first time that a session
-asks for them, and written to the shared folder. State, players and matchups lie in the same buckets by player, so
-they are joined, grouped and ranked by player without an exchange, and a few players are looked up in a few buckets; cells are
-partitioned by version. Search postings are made when first asked for. All are derived again if the tables of the folder have
+They are derived from the star-schema tables of a folder, each the first time that a session asks for it (battles in one pass
+over the line items, the others from battles or state), and written to the shared folder. State, players and matchups lie in the same
+buckets by player, so they are joined, grouped and ranked by player without an exchange, and a few players are looked up in a few buckets;
+cells are partitioned by version. Sides are dealt out to the buckets as they are, and sorted and aggregated there: a bucket is
+small at any size of the input, a part of the battles is not. All are derived again if the tables of the folder have
 changed since, if the written ones are gone, or after ``forget``.
 """
 
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import fixtures
 from ..operators import cells, ingest, players, state
 from ..operators.search import SearchIndex
-from ..storage import exists, new_path, stamp
+from ..storage import exists, new_path, parts, stamp
 
 
 class Store:
@@ -26,17 +26,31 @@ class Store:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.paths = spark, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.battles = self._written("battles", fixtures.battles(spark, sf_dir))
-        ranked = ingest.ranked(self.battles)
+        self.buckets = parts(spark, 2 * self.battles.count())
+
+    def _sides(self, columns: list[str]) -> DataFrame:
+        """Sides of ranked battles, in the buckets."""
+        return ingest.to_sides(ingest.ranked(self.battles), columns).repartition(self.buckets, "player_id")
+
+    @cached_property
+    def matchups(self) -> DataFrame:
+        return self._bucketed("matchups", players.matchup_state(self._sides(["player_id", "character_id", "opp_character_id", "is_win"])))
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return self._bucketed("state", state.character_state(self._sides(state.STATE_SIDE)))
+
+    @cached_property
+    def players(self) -> DataFrame:
+        return self._bucketed("players", state.players(state.merge_players(self.state)))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        built = cells.build_cells(state.with_region(self.state))
         path = self._path("cells")
-        with ThreadPoolExecutor(2) as both:  # two passes that do not need each other
-            matchups = both.submit(self._bucketed, "matchups", players.matchup_state(ingest.to_sides(ranked, ["player_id", "character_id", "opp_character_id", "is_win"])))
-            self.state = self._bucketed("state", state.character_state(ingest.to_sides(ranked, state.STATE_SIDE)))
-            people = both.submit(self._bucketed, "players", state.players(state.merge_players(self.state)))
-            cells.write_cells(cells.build_cells(state.with_region(self.state)), path)
-            self.matchups, self.players = matchups.result(), people.result()
-        self.cells = cells.read_cells(spark, path)
+        cells.write_cells(built, path)
+        return cells.read_cells(self.spark, path)
 
     def _path(self, name: str) -> str:
         self.paths.append(new_path(self.spark, name))

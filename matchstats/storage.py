@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: A side of at most this many narrow rows may be broadcast (a few tens of bytes each).
 BROADCAST_ROWS = 200_000
+#: A task sorts about so many rows of sides or histories (some 300 bytes each in memory) at most.
+TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of ``rows`` rows that are sorted after it: the session's number, more where a task would get more than TASK_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
