@@ -159,11 +159,15 @@ def player_profile(players: DataFrame, stats: DataFrame, matchups: DataFrame) ->
     return head.join(d, "player_id", "left").withColumn("character", name_of("character", F.col("character_id")))
 
 
-def history_pages(history: DataFrame, days: int = 30) -> DataFrame:
-    """A player's battles (``history`` has player_id), newest first, in a row for each ``days`` days that have any: however long a history is, a row holds one period."""
+def history_pages(history: DataFrame, days: int = 30, parts: int | None = None) -> DataFrame:
+    """A player's battles (``history`` has player_id, in any order), newest first, in a row for each ``days`` days that have any: however long a history is, a row holds one period.
+
+    Rows are dealt out by player and period (to ``parts`` partitions) before they are gathered: gathered first, they would be sorted twice and move no smaller.
+    """
     page = F.floor(F.col("battle_at") / (86400 * days)).alias("page")
     fields = [c for c in history.columns if c not in ("player_id", "battle_at")]
-    return history.groupBy("player_id", page).agg(F.sort_array(F.collect_list(F.struct("battle_at", *fields)), asc=False).alias("battles"))
+    dealt = history.repartition(*([] if parts is None else [parts]), "player_id", page)
+    return dealt.groupBy("player_id", page).agg(F.sort_array(F.collect_list(F.struct("battle_at", *fields)), asc=False).alias("battles"))
 
 
 def nested_profiles(players: DataFrame, stats: DataFrame, matchups: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_battles_are_dealt_out_once(spark):
     assert len(dealt) == 1 and max(k for k, x in enumerate(ops) if x.startswith(("Sort", "Window"))) < dealt[0]
 
 
-@pytest.mark.parametrize("name", ["battle_history"])
+@pytest.mark.parametrize("name", ["battle_history", "battle_history_pages"])
 def test_histories_are_dealt_out_once(spark, name):
     d = QUERIES[name](spark, SF)
     ops = plan_of(d)
